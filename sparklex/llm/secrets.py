@@ -6,7 +6,8 @@ characters that hold letters and digits. Labelled credentials, namely distinct v
 are then learned: their characters are mapped to symbols, the prefix tree of the symbol strings is built and states
 whose outgoing frequencies pass Hoeffding's test are merged (the red-blue order of ALERGIA), which leaves a
 probabilistic automaton for each kind. Every candidate of every document is scored by its log-likelihood a symbol under
-each automaton; one that reaches the level of the automaton's own training strings becomes a span of kind ``format``.
+each automaton; one whose likelihood is typical, within the range of all but a few of the automaton's own training
+strings, becomes a span of kind ``format``. (Dull strings are likelier than typical, so the range has two ends.)
 
 Defined cases: a null text counts as an empty one; candidates that touch a base span add nothing; repeated rows and
 null keys are answered row by row; an empty table gives an empty table; other columns play no part.
@@ -75,7 +76,7 @@ class Automaton:
     def __init__(self):
         self.next: list[dict[str, list[int]]] = [{}]
         self.ends, self.visits = [0], [0]
-        self.level = -math.inf
+        self.level, self.ceiling = -math.inf, math.inf
 
     def add(self, word: str) -> None:
         s = 0
@@ -142,6 +143,15 @@ class Automaton:
             else:
                 red.append(state)
 
+    def compact(self) -> None:
+        """Renumber the states that the start reaches and drop the others."""
+        order = [0]
+        for s in order:
+            order += [to for to in sorted({e[0] for e in self.next[s].values()} - set(order))]
+        at = {s: i for i, s in enumerate(order)}
+        self.next = [{c: [at[to], n] for c, (to, n) in self.next[s].items()} for s in order]
+        self.ends, self.visits = [self.ends[s] for s in order], [self.visits[s] for s in order]
+
     def score(self, word: str) -> float:
         """Mean log2-probability of a symbol, the end included; minus infinity for a string the automaton rejects."""
         s, total = 0, 0.0
@@ -157,13 +167,15 @@ class Automaton:
 
 
 def infer(words: list[str], alpha: float = 0.05, keep: float = 0.02) -> Automaton:
-    """The automaton of symbol strings; its level leaves ``keep`` of them below."""
+    """The automaton of symbol strings; ``keep`` of them score below its level and as many above its ceiling."""
     a = Automaton()
     for w in words:
         a.add(w)
     a.merge(alpha)
+    a.compact()
     got = sorted(a.score(w) for w in words)
-    a.level = got[int(keep * (len(got) - 1))] - 1e-9 if got else math.inf
+    cut = int(keep * (len(got) - 1))
+    a.level, a.ceiling = (got[cut] - 1e-9, got[-1 - cut] + 1e-9) if got else (math.inf, -math.inf)
     return a
 
 
@@ -208,7 +220,7 @@ def scan_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", limit:
             spans = [(b["kind"], b["start"], b["end"]) for b in base]
             for c in loose:
                 word = symbols(c["value"])
-                if any(a.score(word) >= a.level for a in automata.values()):
+                if any(a.level <= a.score(word) <= a.ceiling for a in automata.values()):
                     spans.append(("format", c["start"], c["end"]))
             spans.sort(key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
             return spans, len(loose)
