@@ -54,7 +54,7 @@ class OrdinalModel:
         return np.diff(np.concatenate([[0.0], at_most, [1.0]]))
 
 
-def fit(names, rows: list[tuple[list[int], list[float]]], grades: np.ndarray, levels: int, penalty: float = 1e-3, steps: int = 300) -> OrdinalModel:
+def fit(names, rows: list[tuple[list[int], list[float]]], grades: np.ndarray, levels: int, penalty: float = 1e-4, steps: int = 600) -> OrdinalModel:
     """Maximum penalised likelihood by Adam; ``rows`` holds the feature numbers and values of each document."""
     n, m = len(rows), len(names)
     col = np.array([c for cs, _ in rows for c in cs], dtype=np.int64)
