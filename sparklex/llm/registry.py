@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("pii", "secrets", "chat_preferences", "licenses", "quality_rules", "byte_bpe", "simhash")
+MODULES = ("pii", "rule_ensemble", "latent_leaks", "toxicity", "secrets", "chat_preferences", "licenses", "quality_rules", "byte_bpe", "simhash")
 
 
 def _gather(attr: str) -> dict:
