@@ -123,11 +123,11 @@ def public_ranks(spark: SparkSession) -> RankFile:
     return RankFile(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-def digests(docs: DataFrame, ranks: RankFile) -> DataFrame:
-    """Per document the number of ids and the SHA-256 of the packed ids and of the decoded bytes."""
+def digests(docs: DataFrame, ranks: RankFile, with_ids: bool = False) -> DataFrame:
+    """Per document the number of ids and the SHA-256 of the packed ids and of the decoded bytes; ``ids`` too if asked."""
     ids = encode(docs.select("doc_id", "text"), ranks, packed=True)
     both = decode(ids, ranks, keys=("doc_id", "ids"))
-    return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return both.select("doc_id", *["ids"] * with_ids, (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -360,19 +360,19 @@ class Searcher:
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
+    docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", item_key: str = "item_id", item_text: str = "text",
     rank: int = 256, extra: int = 16, least_cosine: float = 0.3, copied: float = 0.6, rephrased: float = 0.45, seed: int = 3,
 ) -> DataFrame:
-    """``key`` and ``leaks``: the items found in a document with the share that is there and the cosine, by item."""
+    """``keys`` and ``leaks``: the items found in a document with the share that is there and the cosine, by item."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = docs.sparkSession
     items = read_items(benchmark, item_key, item_text)
-    item_type, key_type = benchmark.schema[item_key].dataType, docs.schema[key].dataType
+    item_type, nk = benchmark.schema[item_key].dataType, len(keys)
     leak = StructType([StructField("item", item_type), StructField("share", DoubleType()), StructField("cosine", DoubleType())])
-    out = StructType([StructField("_key", key_type), StructField("leaks", ArrayType(leak))])
+    out = StructType([*[StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(keys)], StructField("leaks", ArrayType(leak))])
     if not items.ids:
-        return docs.select(F.col(f"`{key}`"), F.array().cast(ArrayType(leak)).alias("leaks"))
+        return docs.select(*[F.col(f"`{c}`") for c in keys], F.array().cast(ArrayType(leak)).alias("leaks"))
     df, n = document_frequencies(docs, text, spark.sparkContext.broadcast(items.terms))
     items.terms, idf = choose_terms(items, df, n)
     z, passages = sketch(docs, text, spark.sparkContext.broadcast(items.terms), idf, rank + extra, seed)
@@ -386,7 +386,7 @@ def find_leaks(
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 found, some, chars = [], [], 0
-                for t in batch.column(1).slice(at, 128).to_pylist():
+                for t in batch.column(nk).slice(at, 128).to_pylist():
                     some.append(t)
                     chars += len(t or "")
                     if chars > most:
@@ -395,9 +395,10 @@ def find_leaks(
                 if some:
                     found += s.search(some)
                 rows = [[{"item": i, "share": a, "cosine": c} for i, a, c in f] for f in found]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 128), pa.array(rows, type=kind)], names=["_key", "leaks"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(at, 128) for i in range(nk)], pa.array(rows, type=kind)], names=[*[f"k{i}" for i in range(nk)], "leaks"])
 
-    return docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")).mapInArrow(run, out).withColumnRenamed("_key", key)
+    narrow = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keys)], F.col(f"`{text}`").alias("_text"))
+    return narrow.mapInArrow(run, out).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keys)})
 
 
 def op3_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -183,24 +183,41 @@ def fold(key: str = "doc_id") -> Column:
     return F.crc32(F.col(key).cast("string")) % 3
 
 
-def train(table: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", limit: int = MAX_LABELLED) -> RuleEnsemble:
-    """Fit on at most ``limit`` rows of the statistics ``table`` whose ids ``labels`` marks, outside the held-out fold."""
-    known = labels.select(F.col(key).alias("_id"), F.col(label).cast("double").alias("_y")).where(F.col("_y").isin(0.0, 1.0) & (F.crc32(F.col("_id").cast("string")) % 3 != 1))
-    known = known.groupBy("_id").agg(F.min("_y").alias("_y"))
-    known = known.orderBy(F.xxhash64("_id"), "_id").limit(limit)
-    rows = table.join(F.broadcast(known), F.col(key) == F.col("_id")).select(*FEATURES, "_y", F.xxhash64("_id").alias("_h"), "_id")
-    got = np.array(rows.orderBy("_h", "_id", *FEATURES).limit(limit).select(*FEATURES, "_y").toPandas(), dtype=np.float64).reshape(-1, len(FEATURES) + 1)
+def known_labels(labels: DataFrame, key: str, label: str, limit: int) -> DataFrame:
+    """``_id`` and ``_y`` of at most ``limit`` labelled ids outside the held-out fold; of repeated ids the lesser label."""
+    known = labels.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{label}`").cast("double").alias("_y"))
+    known = known.where(F.col("_y").isin(0.0, 1.0) & (fold("_id") != 1)).groupBy("_id").agg(F.min("_y").alias("_y"))
+    return known.orderBy(F.xxhash64("_id"), "_id").limit(limit)
+
+
+def train(table: DataFrame, known: DataFrame, limit: int = MAX_LABELLED) -> RuleEnsemble:
+    """Fit on the rows of the statistics ``table`` (with its ids in ``_key``) that ``known`` labels, ``limit`` at most."""
+    rows = table.join(F.broadcast(known), F.col("_key") == F.col("_id"))
+    rows = rows.orderBy(F.xxhash64("_id"), "_id", *FEATURES).limit(limit).select(*FEATURES, "_y")
+    got = np.array(rows.toPandas(), dtype=np.float64).reshape(-1, len(FEATURES) + 1)
     return fit(got[:, :-1], got[:, -1])
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", limit: int = MAX_LABELLED) -> DataFrame:
     """``key``, ``held_out``, ``score`` and ``predicted``, a row for each row."""
-    table = Scratch(docs.sparkSession, "quality").save(features(docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")), "_key", "_text"), "features")
-    model = train(table.withColumnRenamed("_key", "_doc"), labels.select(F.col(f"`{key}`").alias("_doc"), F.col(f"`{label}`").alias("_label")), "_doc", "_label", limit)
+    table = features(docs.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")), "_key", "_text")
+    table = Scratch(docs.sparkSession, "quality").save(table, "features")
+    model = train(table, known_labels(labels, key, label, limit), limit)
     out = table.select(F.col("_key").alias(key), F.coalesce(fold("_key") == 1, F.lit(False)).alias("held_out"), model.score().alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", limit: int = MAX_LABELLED) -> DataFrame:
+    """The rows of ``docs`` with a score of 0.5 or more, all columns as they are; no text is shuffled."""
+    known = Scratch(docs.sparkSession, "quality").save(known_labels(labels, key, label, limit), "known")
+    some = docs.join(F.broadcast(known.select("_id")), F.col(f"`{key}`") == F.col("_id"), "left_semi")
+    model = train(features(some.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")), "_key", "_text"), known, limit)
+    rows = features(docs.select(F.struct("*").alias("_row"), F.col(f"`{text}`").alias("_text")), "_row", "_text")
+    # behind a generator the optimizer does not copy the statistics into every rule of the filter
+    rows = rows.select("_row", F.explode(F.array(F.struct(*FEATURES))).alias("_f")).select("_row", "_f.*")
+    return rows.where(model.score() >= 0.5).select("_row.*")
+
+
 def op2_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 

@@ -198,6 +198,7 @@ def public_examples(n: int = 300, seed: int = 5) -> dict[str, list[str]]:
 def learn(found: DataFrame, limit: int = MAX_LABELLED) -> dict[str, Automaton]:
     """An automaton for each kind, from the labelled values of ``found`` and the public examples."""
     values = found.select(F.explode("base").alias("s")).select("s.kind", "s.value").where(F.length("value") <= MAX_LENGTH).distinct()
+    values = Scratch(found.sparkSession, "secrets").save(values, "values")
     words = {k: [symbols(v) for v in vs] for k, vs in public_examples().items()}
     for kind in KINDS[:3]:
         rows = values.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(limit).collect()
@@ -205,6 +206,16 @@ def learn(found: DataFrame, limit: int = MAX_LABELLED) -> dict[str, Automaton]:
     return {k: infer(sorted(v)) for k, v in sorted(words.items()) if v}
 
 
+def spans_of(base: list, loose: list, automata: dict[str, Automaton]) -> list[tuple[str, int, int]]:
+    """The base spans and those candidates whose likelihood is typical for some automaton, by start, kind and end."""
+    spans = [b[:3] for b in base]
+    for start, end, value in loose:
+        word = symbols(value)
+        if any(a.level <= a.score(word) <= a.ceiling for a in automata.values()):
+            spans.append(("format", start, end))
+    return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
+
+
 SECRETS = StructType([StructField("spans", ArrayType(StructType([StructField("kind", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))), StructField("scored", IntegerType())])
 
 
@@ -217,13 +228,7 @@ def scan_secrets(df: DataFrame, key: str = "doc_id", text: str = "text", limit:
 
     def make():
         def one(base, loose):
-            spans = [(b["kind"], b["start"], b["end"]) for b in base]
-            for c in loose:
-                word = symbols(c["value"])
-                if any(a.level <= a.score(word) <= a.ceiling for a in automata.values()):
-                    spans.append(("format", c["start"], c["end"]))
-            spans.sort(key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
-            return spans, len(loose)
+            return spans_of([(b["kind"], b["start"], b["end"]) for b in base], [(c["start"], c["end"], c["value"]) for c in loose], automata), len(loose)
 
         return one
 
@@ -240,6 +245,24 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
+def redact_secrets(df: DataFrame, text: str = "text", length: str = "n_chars", limit: int = MAX_LABELLED) -> DataFrame:
+    """``df`` with every secret in ``text`` replaced by its kind in brackets and ``length``, where there is such a
+    column, counted anew; other columns as they are. A null text stays null."""
+    automata = learn(map_rows(df, [], [text], lambda: find, FOUND), limit)
+
+    def make():
+        def one(value):
+            spans = spans_of(*find(value), automata)
+            return (redact(value, spans) if spans else value,)
+
+        return one
+
+    others = [c for c in df.columns if c != text]
+    out = map_rows(df, others, [text], make, StructType([StructField("_redacted", StringType())]))
+    counted = {length: F.length("_redacted").cast(df.schema[length].dataType)} if length in df.columns else {}
+    return out.select(*[F.col("_redacted").alias(text) if c == text else counted[c].alias(c) if c in counted else F.col(f"`{c}`") for c in df.columns])
+
+
 def _join(spans, kinds):
     return F.array_join(F.transform(F.filter(spans, lambda s: s["kind"].isin(*kinds)), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 

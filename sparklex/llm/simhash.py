@@ -111,6 +111,23 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     return each.join(classes, "fp").select(F.col("_key").alias(key), "fp", "component_id")
 
 
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
+    """``df`` with one row of each component, that of the smallest key; all columns as they are.
+
+    Rows are removed by an anti-join on the keys that go, which Spark broadcasts where they are few. Repeated rows of a
+    key that stays are brought down to one where there are any. A null key names no row, so such rows stay.
+    """
+    scratch = Scratch(df.sparkSession, "simhash")
+    rows = scratch.save(near_duplicates(df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")), "_key", "_text", **settings).where("_key is not null").select("_key", "component_id"), "classes")
+    gone = rows.where("_key <> component_id").select("_key").distinct()
+    out = df.join(gone, F.col(f"`{key}`") == F.col("_key"), "left_anti")
+    twice = scratch.save(rows.where("_key = component_id").groupBy("_key").count().where("count > 1").select("_key"), "repeated")
+    if not twice.isEmpty():
+        on = F.col(f"`{key}`") == F.col("_key")
+        out = out.join(twice, on, "left_anti").unionByName(out.join(twice, on, "left_semi").dropDuplicates([key]))
+    return out
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
