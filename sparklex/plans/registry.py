@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("queries_classification", "queries_regression")
+MODULES: tuple[str, ...] = ("queries_classification", "queries_regression", "queries_curves")
 
 
 def _gather(attr: str) -> dict:
