@@ -38,6 +38,14 @@ def map_rows(df: DataFrame, keys: list[str], inputs: list[str], make: Callable[[
     return narrow.mapInArrow(run, out).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keys)})
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def let(value, body):
     """``body(value)`` with ``value`` computed once for a row, inside one expression."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -1,6 +1,6 @@
 """Benchmark decontamination (operator 3) by latent semantic retrieval.
 
-Passages are windows of words. Terms are words of the benchmark, without those in over ``MAX_DF`` of all documents (an
+Passages are windows of words. Terms are words of the benchmark, without those in over ``MAX_DF`` of all documents and ``MIN_FREQUENT`` of them (an
 item always keeps its ``KEEP`` rarest ones, so an item that leaked everywhere is still found); other words have no
 direction of their own but count in a passage's length. Three passes over all documents, none of which shuffles text:
 
@@ -39,8 +39,8 @@ from sparklex.plans.scratch import Scratch
 MAX_ITEMS, MAX_WORDS, MIN_ITEM_WORDS = 100_000, 10_000_000, 8
 #: Words of a block, blocks of a window.
 BLOCK, SPAN = 12, 4
-#: Share of documents beyond which a word is no term, the terms that each item keeps, the terms of a window.
-MAX_DF, KEEP, LEAST_TERMS = 0.05, 12, 3
+#: Share and number of documents beyond which a word is no term, the terms that each item keeps, those of a window.
+MAX_DF, MIN_FREQUENT, KEEP, LEAST_TERMS = 0.05, 50, 12, 3
 #: What a word is instead of a term: outside the benchmark, padding, too frequent.
 OUTSIDE, PADDING, FREQUENT = -1, -2, -3
 _ROWS = 64
@@ -152,7 +152,7 @@ def document_frequencies(docs: DataFrame, text: str, shared) -> tuple[np.ndarray
 def choose_terms(items: Items, df: np.ndarray, n: int) -> tuple[dict[bytes, int], np.ndarray]:
     """The terms with their numbers (``FREQUENT`` for benchmark words that are none) and their idf weights."""
     old = items.terms
-    kept = {w for w, i in old.items() if df[i] <= MAX_DF * n}
+    kept = {w for w, i in old.items() if df[i] <= max(MAX_DF * n, MIN_FREQUENT)}
     for words in items.words:
         kept.update(sorted(set(words), key=lambda w: (df[old[w]], w))[:KEEP])
     order = sorted(kept)

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from sparklex.llm._text import let
+from sparklex.llm._text import fresh, let
 from sparklex.llm.quality_rules import STOP_WORDS
 from sparklex.plans.scratch import Scratch
 
@@ -210,7 +210,8 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", limit: int = MAX_LABELLED) -> DataFrame:
     """The rows of ``docs`` with a score of 0.5 or more, all columns as they are; no text is shuffled."""
     known = Scratch(docs.sparkSession, "quality").save(known_labels(labels, key, label, limit), "known")
-    some = docs.join(F.broadcast(known.select("_id")), F.col(f"`{key}`") == F.col("_id"), "left_semi")
+    name = fresh(docs, "_id")
+    some = docs.join(F.broadcast(known.select(F.col("_id").alias(name))), F.col(f"`{key}`") == F.col(name), "left_semi")
     model = train(features(some.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")), "_key", "_text"), known, limit)
     rows = features(docs.select(F.struct("*").alias("_row"), F.col(f"`{text}`").alias("_text")), "_row", "_text")
     # behind a generator the optimizer does not copy the statistics into every rule of the filter

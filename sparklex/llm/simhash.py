@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from sparklex.llm._text import map_rows
+from sparklex.llm._text import fresh, map_rows
 from sparklex.plans.components import connected_components
 from sparklex.plans.scratch import Scratch
 
@@ -119,11 +119,12 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **settings)
     """
     scratch = Scratch(df.sparkSession, "simhash")
     rows = scratch.save(near_duplicates(df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")), "_key", "_text", **settings).where("_key is not null").select("_key", "component_id"), "classes")
-    gone = rows.where("_key <> component_id").select("_key").distinct()
-    out = df.join(gone, F.col(f"`{key}`") == F.col("_key"), "left_anti")
-    twice = scratch.save(rows.where("_key = component_id").groupBy("_key").count().where("count > 1").select("_key"), "repeated")
+    name = fresh(df, "_gone")
+    on = F.col(f"`{key}`") == F.col(name)
+    out = df.join(rows.where("_key <> component_id").select(F.col("_key").alias(name)).distinct(), on, "left_anti")
+    twice = rows.where("_key = component_id").groupBy("_key").count().where("count > 1").select(F.col("_key").alias(name))
+    twice = scratch.save(twice, "repeated")
     if not twice.isEmpty():
-        on = F.col(f"`{key}`") == F.col("_key")
         out = out.join(twice, on, "left_anti").unionByName(out.join(twice, on, "left_semi").dropDuplicates([key]))
     return out
 

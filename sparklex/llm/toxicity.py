@@ -10,8 +10,8 @@ probability of any grade above 0.
 ``labels`` says only toxic or not. ``severity_grades`` makes grades of it: 0 for clean documents, and for toxic ones 1
 to 3 by the density of telling features, cut at the sample's thirds. ``fit`` takes any grades from 0.
 
-Defined cases: a null text counts as an empty one; without both clean and toxic labelled rows every severity is that of
-the intercepts, near 0; repeated rows and null keys are answered row by row; an empty table gives an empty table; other
+Defined cases: a null text counts as an empty one; without both clean and toxic labelled rows there is nothing to tell
+them apart by and every severity is near 0; repeated rows and null keys are answered row by row; an empty table gives an empty table; other
 columns play no part.
 """
 
@@ -107,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     shares = {r["y"]: r["n"] for r in read.groupBy("y").agg(F.count("*").alias("n")).collect()}
     pos, neg = shares.get(1, 0), shares.get(0, 0)
     if not pos or not neg:
-        return fit((), [([], [])] * (pos + neg), np.zeros(pos + neg, dtype=np.int64), levels)
+        return OrdinalModel((), np.zeros(0), np.arange(4.0, 4.0 + levels - 1))
     counts = each.select("y", F.explode("f").alias("f")).groupBy("f").agg(F.sum("y").cast("double").alias("a"), F.sum(1 - F.col("y")).cast("double").alias("b"))
     scored = counts.where("a + b >= 5").select("f", "a", "b", chi_squared(F.col("a"), F.col("b"), pos, neg).alias("x2"))
     kept = scored.orderBy(F.col("x2").desc(), "f").limit(most).collect()
