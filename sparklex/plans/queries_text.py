@@ -134,3 +134,13 @@ _add("stop_word_filter", lambda s, d: _total(_counts(s, d, V.Analyzer(stop_words
 _add("strip_accents", lambda s, d: _total(_counts(s, d, V.Analyzer(strip_accents=True))))
 _add("hashing_vectorizer", lambda s, d: V.hashing_vectorize(_counts(s, d), "doc_id", 1 << 18).withColumn("value", F.round("value", 6)))
 _add("row_norms", lambda s, d: V.norms(_counts(s, d).withColumnRenamed("tf", "value"), "doc_id").withColumn("norm", F.round("norm", 6)), f"WITH {_TF} SELECT doc_id, round(sqrt(sum(tf * tf)), 6) AS norm FROM tf GROUP BY doc_id")
+
+
+def _stems(lang: str, where: str):
+    from sparklex.functions.stemming import stem
+
+    return lambda s, d: words(s, d, where).select("word", stem("word", lang).alias("stem"))
+
+
+for _l, _where in (("porter", "en"), ("en", "en"), ("fr", "fr"), ("de", "de"), ("es", "es"), ("it", "es"), ("pt", "es")):
+    _add(f"stem_{_l}", _stems(_l, _where))
