@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("queries_text", "queries_search", "queries_classification", "queries_regression", "queries_curves")
+MODULES: tuple[str, ...] = ("queries_text", "queries_search", "queries_classification", "queries_regression", "queries_curves", "queries_tokens")
 
 
 def _gather(attr: str) -> dict:
