@@ -104,6 +104,22 @@ def term_ids(words: list[bytes], terms: dict[bytes, int]) -> np.ndarray:
     return np.fromiter(map(terms.get, words, repeat(OUTSIDE)), dtype=np.int32, count=len(words))
 
 
+def segment_sums(table: np.ndarray, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of ``table[rows]`` over the runs that begin at ``starts``. Short runs are added up side by side, one place
+    after the other, which is many times faster than a reduction along wide rows."""
+    lengths = np.diff(np.append(starts, len(rows)))
+    out = table[rows[starts]]
+    short = lengths <= 16
+    for k in range(1, 16):
+        some = np.flatnonzero(short & (lengths > k))
+        if not len(some):
+            break
+        out[some] += table[rows[starts[some] + k]]
+    for i in np.flatnonzero(~short):
+        out[i] = table[rows[starts[i] : starts[i] + lengths[i]]].sum(axis=0)
+    return out
+
+
 def blocks_of(ids: np.ndarray, table: np.ndarray, size: int = BLOCK) -> np.ndarray:
     """The sums of the rows of ``table`` over blocks of ``size`` words; only terms add."""
     n = -(-len(ids) // size)
@@ -112,7 +128,7 @@ def blocks_of(ids: np.ndarray, table: np.ndarray, size: int = BLOCK) -> np.ndarr
     if len(at):
         block = at // size
         starts = np.flatnonzero(np.diff(block, prepend=-1))
-        out[block[starts]] = np.add.reduceat(table[ids[at]], starts, axis=0)
+        out[block[starts]] = segment_sums(table, ids[at], starts)
     return out
 
 
@@ -186,7 +202,7 @@ def sketch(docs: DataFrame, text: str, shared, idf: np.ndarray, width: int, seed
             order = at[np.argsort(ids[at], kind="stable")]
             starts = np.flatnonzero(np.diff(ids[order], prepend=-1))
             which = ids[order[starts]]
-            total[which] += np.add.reduceat(y[order // size], starts, axis=0)
+            total[which] += segment_sums(y, order // size, starts)
             seen[which] = True
 
         held, n = [], 0
