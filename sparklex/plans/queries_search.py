@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparklex.functions import setsim as S, strings as T
+from sparklex.functions import strings as T
 from sparklex.operators import fuzzy as Z, vectors as X
+from sparklex.plans.queries_text import _ratio
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -34,7 +35,7 @@ def _extract(s, d, **kw) -> DataFrame:
 
 _jw = lambda a, b: 100 * T.jaro_winkler(a, b)
 _add("extract_top5", lambda s, d: _extract(s, d))
-_add("extract_ratio_cutoff", lambda s, d: _extract(s, d, scorer="ratio", limit=None, cutoff=45.0))
+_add("extract_ratio_cutoff", lambda s, d: _extract(s, d, scorer="ratio", limit=None, cutoff=45.0), f"{_ND} SELECT q, c, name AS choice, round(s, 6) AS score, row_number() OVER (PARTITION BY q ORDER BY s DESC, c) AS rank FROM (SELECT *, {_ratio('query', 'name')} AS s FROM q, c) WHERE s >= 45")
 _add("extract_jaro_winkler_top5", lambda s, d: _extract(s, d, scorer=_jw), f"{_ND} SELECT q, c, name AS choice, round(s, 6) AS score, row_number() OVER (PARTITION BY q ORDER BY s DESC, c) AS rank FROM (SELECT *, 100 * jaro_winkler_similarity(query, name) AS s FROM q, c) QUALIFY rank <= 5")
 
 
@@ -57,12 +58,6 @@ w AS (SELECT k AS n, k AS m FROM r UNION SELECT e.z, w.m FROM w JOIN e ON e.a =
 SELECT p_partkey, cluster FROM part JOIN r ON r.b = p_brand AND r.t = p_name || ' ' || p_type JOIN c ON c.n = r.k""")
 
 
-def _jaccard_clusters(s: SparkSession, d: str) -> DataFrame:
-    c = s.read.parquet(f"{d}/customer.parquet")
-    return Z.find_clusters(c, "c_custkey", F.col("c_mktsegment"), lambda a, b: S.jaccard(f"{a}c_name", f"{b}c_name", 3), ["c_name"], 0.9)
-
-
-_add("dedup_jaccard", _jaccard_clusters)
 EMB = lambda s, d: s.read.parquet(f"{d}/embeddings.parquet")
 _V = "SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings"
 

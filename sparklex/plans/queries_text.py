@@ -46,14 +46,33 @@ _pair("hamming_normalized_similarity", T.hamming_normalized_similarity, f"1 - ({
 _pair("jaro", T.jaro, "jaro_similarity(a, b)")
 _pair("jaro_distance", T.jaro_distance, "1 - jaro_similarity(a, b)")
 _pair("jaro_winkler", T.jaro_winkler, "jaro_winkler_similarity(a, b)")
+
+
+def _lcs(a: str, b: str) -> str:
+    """SQL for the longest common subsequence: a fold over the rows of the table, each a fold over its cells."""
+    cell = f"list_append(new, CASE WHEN ({b})[j[1]] = chr(x[1]) THEN row[j[1]] + 1 ELSE greatest(row[j[1] + 1], new[j[1]]) END)"
+    inner = f"list_reduce([[j::INT] FOR j IN range(1, length({b}) + 1)], lambda new, j: {cell}, [0::INT])"
+    return f"coalesce(CASE WHEN length({a}) = 0 OR length({b}) = 0 THEN 0 ELSE list_reduce([[ord(c)::INT] FOR c IN string_split({a}, '')], lambda row, x: {inner}, list_resize([0::INT], length({b}) + 1, 0::INT))[length({b}) + 1] END, 0)"
+
+
+def _ratio(a: str, b: str) -> str:
+    return f"CASE WHEN length({a}) + length({b}) = 0 THEN 100.0 ELSE 200.0::DOUBLE * {_lcs(a, b)} / (length({a}) + length({b})) END"
+
+
+_SORTED = "array_to_string(list_sort(string_split({x}, ' ')), ' ')"
+_TOKENS = f"SELECT p_partkey, a, b, {_SORTED.format(x='a')} AS sa, {_SORTED.format(x='b')} AS sb, list_sort(list_distinct(string_split(a, ' '))) AS ta, list_sort(list_distinct(string_split(b, ' '))) AS tb FROM ({_N})"
+_SETS3 = f"SELECT *, array_to_string(i, ' ') AS si, trim(array_to_string(list_concat(i, da), ' ')) AS ca, trim(array_to_string(list_concat(i, db), ' ')) AS cb FROM (SELECT *, [t FOR t IN ta IF list_contains(tb, t)] AS i, [t FOR t IN ta IF NOT list_contains(tb, t)] AS da, [t FOR t IN tb IF NOT list_contains(ta, t)] AS db FROM ({_TOKENS}))"
+_FUZZ = {"ratio": _ratio("a", "b"), "token_sort_ratio": _ratio("sa", "sb"), "token_set_ratio": f"greatest({_ratio('si', 'ca')}, {_ratio('si', 'cb')}, {_ratio('ca', 'cb')})"}
 _pair("osa", T.osa, None, None)
-_pair("indel", T.indel, None, None)
-_pair("indel_normalized_similarity", lambda a, b: T.normalized_similarity(T.indel(a, b), a, b, True), None)
-_pair("lcs_subsequence", T.lcs_subsequence, None, None)
+_pair("indel", T.indel, f"length(a) + length(b) - 2 * {_lcs('a', 'b')}", None)
+_pair("indel_normalized_similarity", lambda a, b: T.normalized_similarity(T.indel(a, b), a, b, True), f"{_ratio('a', 'b')} / 100")
+_pair("lcs_subsequence", T.lcs_subsequence, _lcs("a", "b"), None)
 _pair("lcs_substring", T.lcs_substring, "list_max([len(s) FOR s IN list_distinct(flatten([[a[i:j] FOR j IN range(i, length(a) + 1)] FOR i IN range(1, length(a) + 1)])) IF contains(b, s)])", None)
 _pair("ratcliff_obershelp", T.ratcliff_obershelp, None)
 for _s in ("ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio", "partial_token_sort_ratio", "partial_token_set_ratio", "weighted_ratio"):
     _pair(f"fuzz_{_s}", lambda a, b, s=_s: T.fuzz(s, a, b), None)
+    if _s in _FUZZ:
+        ORACLES[f"fuzz_{_s}"] = f"SELECT p_partkey, a, b, round(({_FUZZ[_s]})::DOUBLE, 6) AS value FROM ({_SETS3})"
 _add("levenshtein_tokens", lambda s, d: names(s, d).select("p_partkey", T.levenshtein_tokens(F.split("a", " "), F.split("b", " ")).alias("value")))
 _GRAMS = "[{x}[i:i + 1] FOR i IN range(1, length({x}))]"
 _SETS = f"SELECT *, len(x)::DOUBLE AS m, len(y)::DOUBLE AS n, coalesce(list_sum([least(len([v FOR v IN x IF v = g]), len([v FOR v IN y IF v = g])) FOR g IN list_distinct(x)]), 0)::DOUBLE AS i FROM (SELECT *, {_GRAMS.format(x='a')} AS x, {_GRAMS.format(x='b')} AS y FROM ({_N}))"
@@ -68,13 +87,18 @@ def words(spark: SparkSession, sf: str, lang: str | None = None) -> DataFrame:
     return d.select(F.explode(V.Analyzer().terms(F.coalesce("text", F.lit("")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-_CODE = "translate(upper(regexp_replace(word, '[^A-Za-z]', '', 'g')), 'BFPVCGJKQSXZDTLMNR', '111122222222334556')"
+_UP = "translate(regexp_replace(translate(word, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^A-Z]', '', 'g'), '', '')"
+_DIGITS = "translate(regexp_replace(u, '[HW]', '', 'g'), 'BFPVCGJKQSXZDTLMNRAEIOUY', '111122222222334556000000')"
+for _d in "123456":
+    _DIGITS = f"regexp_replace({_DIGITS}, '{_d}+', '{_d}', 'g')"
+_SOUND = f"SELECT word, CASE WHEN u = '' THEN '' ELSE left(u[1] || replace(CASE WHEN u[1] IN ('H', 'W') THEN d ELSE substr(d, 2) END, '0', '') || '000', 4) END AS code FROM (SELECT word, u, {_DIGITS} AS d FROM (SELECT word, {_UP} AS u FROM (SELECT DISTINCT term AS word FROM ({{tok}}))))"
 _add("soundex", lambda s, d: words(s, d).select("word", P.soundex("word").alias("code")))
 _add("metaphone", lambda s, d: words(s, d).select("word", P.metaphone("word").alias("code")))
 _add("nysiis", lambda s, d: words(s, d).select("word", P.nysiis("word").alias("code")))
 
 DOCS = lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
 _TOK = "SELECT doc_id, lang, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents"
+ORACLES["soundex"] = _SOUND.format(tok=_TOK)
 _TF = f"tf AS (SELECT doc_id, any_value(lang) AS lang, term, count(*)::DOUBLE AS tf FROM ({_TOK}) GROUP BY doc_id, term), n AS (SELECT count(*) AS n FROM documents)"
 _DF = "df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)"
 
