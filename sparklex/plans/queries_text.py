@@ -63,7 +63,11 @@ _SORTED = "array_to_string(list_sort(string_split({x}, ' ')), ' ')"
 _TOKENS = f"SELECT p_partkey, a, b, {_SORTED.format(x='a')} AS sa, {_SORTED.format(x='b')} AS sb, list_sort(list_distinct(string_split(a, ' '))) AS ta, list_sort(list_distinct(string_split(b, ' '))) AS tb FROM ({_N})"
 _SETS3 = f"SELECT *, array_to_string(i, ' ') AS si, trim(array_to_string(list_concat(i, da), ' ')) AS ca, trim(array_to_string(list_concat(i, db), ' ')) AS cb FROM (SELECT *, [t FOR t IN ta IF list_contains(tb, t)] AS i, [t FOR t IN ta IF NOT list_contains(tb, t)] AS da, [t FOR t IN tb IF NOT list_contains(ta, t)] AS db FROM ({_TOKENS}))"
 _FUZZ = {"ratio": _ratio("a", "b"), "token_sort_ratio": _ratio("sa", "sb"), "token_set_ratio": f"greatest({_ratio('si', 'ca')}, {_ratio('si', 'cb')}, {_ratio('ca', 'cb')})"}
+#: The state of a fold is the last two rows of the table, one behind the other.
+_CELL = "least(acc[m + 2 + j[1]] + 1, new[j[1]] + 1, acc[m + 1 + j[1]] + CASE WHEN ord(b[j[1]]) = x[1] THEN 0 ELSE 1 END, CASE WHEN x[3] > 1 AND j[1] > 1 AND ord(b[j[1] - 1]) = x[1] AND ord(b[j[1]]) = x[2] THEN acc[j[1] - 1] + 1 ELSE 1000000 END)"
+_OSA = f"list_reduce([[ord(a[i])::INT, CASE WHEN i > 1 THEN ord(a[i - 1]) ELSE -1 END::INT, i::INT] FOR i IN range(1, length(a) + 1)], lambda acc, x: list_concat(acc[m + 2:], list_reduce([[j::INT] FOR j IN range(1, m + 1)], lambda new, j: list_append(new, ({_CELL})::INT), [x[3]])), list_concat([k::INT FOR k IN range(0, m + 1)], [k::INT FOR k IN range(0, m + 1)]))[2 * m + 2]"
 _pair("osa", T.osa, None, None)
+ORACLES["osa"] = f"SELECT p_partkey, a, b, ({_OSA})::BIGINT AS value FROM (SELECT *, length(b)::INT AS m FROM ({_N}))"
 _pair("indel", T.indel, f"length(a) + length(b) - 2 * {_lcs('a', 'b')}", None)
 _pair("indel_normalized_similarity", lambda a, b: T.normalized_similarity(T.indel(a, b), a, b, True), f"{_ratio('a', 'b')} / 100")
 _pair("lcs_subsequence", T.lcs_subsequence, _lcs("a", "b"), None)
@@ -73,7 +77,9 @@ for _s in ("ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio", "par
     _pair(f"fuzz_{_s}", lambda a, b, s=_s: T.fuzz(s, a, b), None)
     if _s in _FUZZ:
         ORACLES[f"fuzz_{_s}"] = f"SELECT p_partkey, a, b, round(({_FUZZ[_s]})::DOUBLE, 6) AS value FROM ({_SETS3})"
-_add("levenshtein_tokens", lambda s, d: names(s, d).select("p_partkey", T.levenshtein_tokens(F.split("a", " "), F.split("b", " ")).alias("value")))
+_TOK_CELL = "least(row[j[1] + 1] + 1, new[j[1]] + 1, row[j[1]] + CASE WHEN tb[j[1]] = ta[x[1]] THEN 0 ELSE 1 END)::INT"
+_add("levenshtein_tokens", lambda s, d: names(s, d).select("p_partkey", T.levenshtein_tokens(F.split("a", " "), F.split("b", " ")).alias("value")),
+     f"SELECT p_partkey, list_reduce([[i::INT] FOR i IN range(1, len(ta) + 1)], lambda row, x: list_reduce([[j::INT] FOR j IN range(1, len(tb) + 1)], lambda new, j: list_append(new, {_TOK_CELL}), [x[1]]), [k::INT FOR k IN range(0, len(tb) + 1)])[len(tb) + 1] AS value FROM (SELECT p_partkey, string_split(a, ' ') AS ta, string_split(b, ' ') AS tb FROM ({_N}))")
 _GRAMS = "[{x}[i:i + 1] FOR i IN range(1, length({x}))]"
 _SETS = f"SELECT *, len(x)::DOUBLE AS m, len(y)::DOUBLE AS n, coalesce(list_sum([least(len([v FOR v IN x IF v = g]), len([v FOR v IN y IF v = g])) FOR g IN list_distinct(x)]), 0)::DOUBLE AS i FROM (SELECT *, {_GRAMS.format(x='a')} AS x, {_GRAMS.format(x='b')} AS y FROM ({_N}))"
 for _n, _f, _e in (("jaccard", S.jaccard, "i / (m + n - i)"), ("sorensen_dice", S.sorensen_dice, "2 * i / (m + n)"), ("overlap", S.overlap, "i / least(m, n)"), ("cosine", S.cosine, "i / sqrt(m * n)"), ("tversky", lambda a, b: S.tversky(a, b, 2, 0.3, 0.7), "i / (i + 0.3 * (m - i) + 0.7 * (n - i))")):
@@ -155,7 +161,7 @@ _WB = "SELECT doc_id, ' ' || unnest([x FOR x IN regexp_split_to_array(lower(coal
 _add("char_wb_ngrams_4", lambda s, d: _total(_counts(s, d, V.Analyzer("char_wb", (4, 4)))), _SUM.format(t=f"SELECT doc_id, unnest(CASE WHEN length(w) < 4 THEN [w] ELSE [substr(w, i, 4) FOR i IN range(1, length(w) - 2)] END) AS term FROM ({_WB})"))
 _STOP = ("the", "and", "of", "to", "is", "der", "die", "und", "la", "le", "de", "el", "que")
 _add("stop_word_filter", lambda s, d: _total(_counts(s, d, V.Analyzer(stop_words=_STOP))), _SUM.format(t=f"SELECT doc_id, term FROM ({_TOK}) WHERE term NOT IN {_STOP}"))
-_add("strip_accents", lambda s, d: _total(_counts(s, d, V.Analyzer(strip_accents=True))))
+_add("strip_accents", lambda s, d: _total(_counts(s, d, V.Analyzer(strip_accents=True))), _SUM.format(t="SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents"))
 _add("hashing_vectorizer", lambda s, d: V.hashing_vectorize(_counts(s, d), "doc_id", 1 << 18).withColumn("value", F.round("value", 6)))
 _add("row_norms", lambda s, d: V.norms(_counts(s, d).withColumnRenamed("tf", "value"), "doc_id").withColumn("norm", F.round("norm", 6)), f"WITH {_TF} SELECT doc_id, round(sqrt(sum(tf * tf)), 6) AS norm FROM tf GROUP BY doc_id")
 
