@@ -13,7 +13,7 @@ def qgrams(s, q: int) -> Column:
     """The q-grams of a string in order; none where it is shorter."""
     if q < 1:
         raise ValueError("q must be at least 1")
-    return F.regexp_extract_all(_col(s), F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1))
+    return F.regexp_extract_all(_col(s), F.lit(f"(?s)(?=(.{{{q}}}))."), F.lit(1))
 
 
 def _bag(a, b, q: int, formula) -> Column:

@@ -67,7 +67,7 @@ def _grams(words: Column, lo: int, hi: int) -> Column:
 
 def char_grams(s: Column, n: int) -> Column:
     """Every run of ``n`` characters; a look-ahead finds them in one pass over the string."""
-    return F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    return F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
 
 
 def _bounded(word: Column, lo: int, hi: int) -> Column:

@@ -65,7 +65,7 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, key: str, vector: str,
     for at in range(0, len(rows), QUERY_BLOCK):
         block = rows[at : at + QUERY_BLOCK]
         shared = index.sparkSession.sparkContext.broadcast(([r["q"] for r in block], _matrix([r["v"] for r in block], normalize)))
-        parts.append(source.mapInArrow(_search(shared, k, normalize), schema))
+        parts.append(source.mapInArrow(_search(shared, k, normalize, (query_type, key_type)), schema))
     if not parts:
         return index.sparkSession.createDataFrame([], f"query {query_type.simpleString()}, {key} {key_type.simpleString()}, score double, rank bigint")
     found = parts[0]
@@ -83,8 +83,11 @@ def _matrix(vectors: list, normalize: bool) -> np.ndarray:
     return m
 
 
-def _search(shared, k: int, normalize: bool):
+def _search(shared, k: int, normalize: bool, types: tuple):
     def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        query_type, key_type = map(to_arrow_type, types)
         names, q = shared.value
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
@@ -100,7 +103,7 @@ def _search(shared, k: int, normalize: bool):
                 out_q = [names[lo + j] for j in range(n) for _ in range(len(best))]
                 flat = best.T.ravel()
                 cols = np.repeat(np.arange(n), len(best))
-                yield pa.RecordBatch.from_arrays([pa.array(out_q), pa.array(keys[flat]), pa.array(scores[flat, cols])], names=["query", "k", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(out_q, query_type), pa.array(keys[flat]).cast(key_type), pa.array(scores[flat, cols])], names=["query", "k", "score"])
 
     return run
 
