@@ -114,14 +114,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """``df`` with one row of each component, that of the smallest key; all columns as they are.
 
-    Rows are removed by an anti-join on the keys that go, which Spark broadcasts where they are few. Repeated rows of a
-    key that stays are brought down to one where there are any. A null key names no row, so such rows stay.
+    Rows are removed by an anti-join on the keys that go: a shuffled hash join at every size, since those keys grow with
+    the input and must not be broadcast; texts cross the network once and are not sorted. Repeated rows of a key that
+    stays are brought down to one where there are any. A null key names no row, so such rows stay.
     """
     scratch = Scratch(df.sparkSession, "simhash")
     rows = scratch.save(near_duplicates(df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")), "_key", "_text", **settings).where("_key is not null").select("_key", "component_id"), "classes")
     name = fresh(df, "_gone")
     on = F.col(f"`{key}`") == F.col(name)
-    out = df.join(rows.where("_key <> component_id").select(F.col("_key").alias(name)).distinct(), on, "left_anti")
+    out = df.join(rows.where("_key <> component_id").select(F.col("_key").alias(name)).distinct().hint("shuffle_hash"), on, "left_anti")
     twice = rows.where("_key = component_id").groupBy("_key").count().where("count > 1").select(F.col("_key").alias(name))
     twice = scratch.save(twice, "repeated")
     if not twice.isEmpty():
