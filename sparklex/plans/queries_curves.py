@@ -60,8 +60,8 @@ g AS (SELECT a, b, d, s, sum(hit)::DOUBLE AS pos, sum(1 - hit)::DOUBLE AS neg FR
 z AS (SELECT a, b, d, {_AUC} AS v, sum(pos + neg) AS w FROM p GROUP BY a, b, d), m AS (SELECT a, b, avg(v) AS v, avg(w) AS w FROM z GROUP BY a, b)"""
 _add("roc_auc_ovo", lambda s, d: _one(C.roc_auc_ovo(_multi(s, d), "y", "q")), f"{_OVO} SELECT round(avg(v), 6) AS value FROM m")
 _add("roc_auc_ovo_weighted", lambda s, d: _one(C.roc_auc_ovo(_multi(s, d), "y", "q", "weighted")), f"{_OVO} SELECT round(sum(v * w) / sum(w), 6) AS value FROM m")
-_flags = lambda s, d: scored(s, d).select(F.array(F.col("y") == 1, F.col("n") < 3).alias("f"), F.array("s", F.round(1 - F.col("s") / 2, 3)).alias("q"))
-_FL = f"SELECT 0 AS label, y AS f, s FROM ({_S}) UNION ALL SELECT 1, CASE WHEN n < 3 THEN 1 ELSE 0 END, round(1 - s / 2, 3) FROM ({_S})"
+_flags = lambda s, d: scored(s, d).select(F.array(F.col("y") == 1, F.col("n") < 3).alias("f"), F.array("s", 1 - F.col("s") / 2).alias("q"))
+_FL = f"SELECT 0 AS label, y AS f, s FROM ({_S}) UNION ALL SELECT 1, CASE WHEN n < 3 THEN 1 ELSE 0 END, 1 - s / 2 FROM ({_S})"
 _ML = "WITH g AS (SELECT {k}s, sum(f)::DOUBLE AS pos, sum(1 - f)::DOUBLE AS neg FROM (" + _FL + ") GROUP BY {k}s), p AS (SELECT *, sum(pos) OVER ({part}ORDER BY s DESC) AS tp, sum(neg) OVER ({part}ORDER BY s DESC) AS fp FROM g)"
 _EACH = _ML.format(k="label, ", part="PARTITION BY label ") + f", a AS (SELECT label, {_AP} AS v, sum(pos) AS w FROM p GROUP BY label)"
 _add("average_precision_multilabel_micro", lambda s, d: _one(C.average_precision_multilabel(_flags(s, d), "f", "q", "micro")), _ML.format(k="", part="") + f" SELECT round({_AP}, 6) AS value FROM p")

@@ -73,6 +73,6 @@ _add("knn_top10_cosine", lambda s, d: _search(s, d, True), _KNN.format(s="list_c
 _add("dot_product", lambda s, d: EMB(s, d).select("vec_id", F.round(X.dot("embedding", F.reverse("embedding")), 5).alias("value")), f"SELECT vec_id, round(list_dot_product(v, list_reverse(v)), 5) AS value FROM ({_V})")
 _add("l2_norm", lambda s, d: EMB(s, d).select("vec_id", F.round(X.l2_norm("embedding"), 6).alias("value")), f"SELECT vec_id, round(sqrt(list_dot_product(v, v)), 6) AS value FROM ({_V})")
 _long = lambda df, v: df.select(*[c for c in df.columns if c != v], F.posexplode(v).alias("i", "x")).withColumn("x", F.round(F.col("x").cast("double"), 4))
-_add("l2_normalize", lambda s, d: _long(EMB(s, d).select("vec_id", X.l2_normalize("embedding").alias("v")), "v"), f"SELECT vec_id, CAST(i - 1 AS INT) AS i, round(v[i] / n, 4) AS x FROM (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n, unnest(range(1, len(v) + 1)) AS i FROM ({_V}))")
-_add("mean_pool", lambda s, d: _long(X.mean_pool(EMB(s, d).withColumn("m", (F.col("vec_id") % 3 != 0).cast("int")), "label", "embedding", "m"), "vector"), f"SELECT label, CAST(i - 1 AS INT) AS i, round(sum(v[i] * m) / greatest(sum(m), 1e-9), 4) AS x FROM (SELECT label, v, CASE WHEN vec_id % 3 <> 0 THEN 1 ELSE 0 END AS m, unnest(range(1, len(v) + 1)) AS i FROM ({_V})) GROUP BY label, i")
-_add("mean_pool_normalize", lambda s, d: _long(X.mean_pool(EMB(s, d), "label", "embedding", None, True), "vector"), f"WITH p AS (SELECT label, i, avg(v[i]) AS x FROM (SELECT label, v, unnest(range(1, len(v) + 1)) AS i FROM ({_V})) GROUP BY label, i) SELECT label, CAST(i - 1 AS INT) AS i, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 4) AS x FROM p")
+_add("l2_normalize", lambda s, d: _long(EMB(s, d).select("vec_id", X.l2_normalize("embedding").alias("v")), "v"), f"SELECT vec_id, CAST(i - 1 AS INT) AS i, round((v[i] / n)::FLOAT::DOUBLE, 4) AS x FROM (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n, unnest(range(1, len(v) + 1)) AS i FROM ({_V}))")
+_add("mean_pool", lambda s, d: _long(X.mean_pool(EMB(s, d).withColumn("m", (F.col("vec_id") % 3 != 0).cast("int")), "label", "embedding", "m"), "vector"), f"SELECT label, CAST(i - 1 AS INT) AS i, round((sum(v[i] * m) / greatest(sum(m), 1e-9))::FLOAT::DOUBLE, 4) AS x FROM (SELECT label, v, CASE WHEN vec_id % 3 <> 0 THEN 1 ELSE 0 END AS m, unnest(range(1, len(v) + 1)) AS i FROM ({_V})) GROUP BY label, i")
+_add("mean_pool_normalize", lambda s, d: _long(X.mean_pool(EMB(s, d), "label", "embedding", None, True), "vector"), f"WITH p AS (SELECT label, i, avg(v[i])::FLOAT::DOUBLE AS x FROM (SELECT label, v, unnest(range(1, len(v) + 1)) AS i FROM ({_V})) GROUP BY label, i) SELECT label, CAST(i - 1 AS INT) AS i, round((x / sqrt(sum(x * x) OVER (PARTITION BY label)))::FLOAT::DOUBLE, 4) AS x FROM p")
