@@ -168,12 +168,39 @@ def davies_bouldin(df: DataFrame, vector: str, label: str) -> DataFrame:
     return pairs.groupBy("ca").agg(F.max(r).alias("r")).agg(_value(F.avg("r")))
 
 
-def silhouette_samples(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """``key``, ``value`` with Euclidean distances; a singleton's value is 0. All pairs by definition."""
-    left = df.select(F.col(key).alias("ka"), F.col(label).alias("ca"), F.transform(vector, lambda x: x.cast("double")).alias("va"))
-    right = df.select(F.col(key).alias("kb"), F.col(label).alias("cb"), F.transform(vector, lambda x: x.cast("double")).alias("vb"))
-    d = left.crossJoin(right).where("ka <> kb").groupBy("ka", "ca", "cb").agg(F.avg(F.sqrt(_sq(F.col("va"), F.col("vb")))).alias("d"))
-    s = d.groupBy("ka", "ca").agg(F.max(F.when(F.col("ca") == F.col("cb"), F.col("d"))).alias("a"), F.min(F.when(F.col("ca") != F.col("cb"), F.col("d"))).alias("b"))
+def silhouette_samples(df: DataFrame, key: str, vector: str, label: str, block: int = 1_024) -> DataFrame:
+    """``key``, ``value`` with Euclidean distances; a singleton's value is 0. All pairs by definition.
+
+    Rows are gathered in blocks of about ``block``; every pair of blocks is one matrix of distances, from which only
+    sums by row and cluster come back.
+    """
+    n = max(1, -(-df.count() // block))
+    rows = df.select((F.abs(F.xxhash64(key)) % n).alias("b"), F.struct(F.col(key).alias("k"), F.col(label).alias("c"), F.transform(vector, lambda x: x.cast("double")).alias("v")).alias("r"))
+    packed = rows.groupBy("b").agg(F.collect_list("r").alias("r")).select(F.col("r.k").alias("k"), F.col("r.c").alias("c"), F.flatten("r.v").alias("v"))
+    left, right = packed.toDF("ka", "ca", "va"), packed.toDF("kb", "cb", "vb")
+
+    def sums(frames):
+        import numpy as np
+        import pandas as pd
+
+        for frame in frames:
+            for p in frame.itertuples(index=False):
+                ka, kb, cb = np.asarray(p.ka), np.asarray(p.kb), np.asarray(p.cb)
+                x, y = np.asarray(p.va).reshape(len(ka), -1), np.asarray(p.vb).reshape(len(kb), -1)
+                names, at = np.unique(cb, return_inverse=True)
+                member = np.eye(len(names))[at]
+                s, m = np.empty((len(ka), len(names))), np.empty((len(ka), len(names)))
+                for i in range(len(ka)):  # differences, not a product form, so that small distances stay exact
+                    others = (kb != ka[i]).astype(float)
+                    s[i] = (np.sqrt(((y - x[i]) ** 2).sum(axis=1)) * others) @ member
+                    m[i] = others @ member
+                yield pd.DataFrame({"ka": np.repeat(ka, len(names)), "ca": np.repeat(np.asarray(p.ca), len(names)), "cb": np.tile(names, len(ka)), "s": s.ravel(), "n": m.ravel()})
+
+    kt, ct = df.schema[key].dataType.simpleString(), df.schema[label].dataType.simpleString()
+    parts = left.crossJoin(right).repartition(max(1, n)).mapInPandas(sums, f"ka {kt}, ca {ct}, cb {ct}, s double, n double")
+    d = parts.groupBy("ka", "ca", "cb").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).where("n > 0").withColumn("d", F.col("s") / F.col("n"))
+    own, other = F.col("ca") == F.col("cb"), F.col("ca") != F.col("cb")
+    s = d.groupBy("ka", "ca").agg(F.max(F.when(own, F.col("d"))).alias("a"), F.min(F.when(other, F.col("d"))).alias("b"))
     top = F.greatest("a", "b")
     return s.select(F.col("ka").alias(key), F.when(F.col("a").isNull() | (top <= 0), 0.0).otherwise((F.col("b") - F.col("a")) / top).alias("value"))
 
