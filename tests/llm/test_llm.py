@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparklex.llm import byte_bpe, chat_preferences, latent_leaks, licenses, pii, quality_rules, rule_ensemble, secrets, simhash, toxicity
+from sparklex.llm import byte_bpe, chat_preferences, latent_leaks, licenses, near_copies, pii, quality_rules, rule_ensemble, secrets, simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
@@ -445,6 +445,39 @@ def test_simhash_keep_one(spark, odd, empty):
     assert ids == Counter([0, 3, 4, 5, 6, None])
 
 
+# near copies
+
+
+def test_near_copies_planted(spark, odd, empty):
+    import corpus_pipeline as C
+
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 4000, 150)]
+        texts.append(" ".join(base))
+        for changes in (1, 2, 3, 4, 6, 12):
+            some = list(base)
+            for at in rng.integers(0, 150, changes):
+                some[at] = f"new{rng.integers(0, 4000)}"
+            texts.append(" ".join(some))
+    sets = [set(near_copies.shingle_set(t).tolist()) for t in texts]
+    comp = list(range(len(texts)))
+    for _ in texts:
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                if len(x & y) >= 0.8 * len(x | y):
+                    comp[i] = comp[j] = min(comp[i], comp[j])
+    want = {i for i, c in enumerate(comp) if i == c}
+    assert len(want) < len(texts) - 20
+    assert {r["doc_id"] for r in near_copies.keep_one(table(spark, texts), hot=2).collect()} == want
+    clash = table(spark, [*texts, texts[0], "a text of its own"], [*range(len(texts)), 500, 500])
+    assert Counter(r["doc_id"] for r in C.near_duplicates(spark, clash, SF).collect()) == Counter([*want, 500])
+    kept = near_copies.keep_one(odd)
+    assert kept.columns == odd.columns and near_copies.keep_one(empty).count() == 0
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([0, 3, 4, 5, 6, None])
+
+
 # the pipeline
 
 
