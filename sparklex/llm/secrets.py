@@ -19,6 +19,7 @@ import math
 import random
 import re
 import string
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -29,11 +30,14 @@ from sparklex.plans.scratch import Scratch
 KINDS = ("assign", "access", "hex", "format")
 #: Labelled credentials a kind that a fit reads at most, and the longest one that is learned.
 MAX_LABELLED, MAX_LENGTH = 2_000, 256
+#: The shortest candidate.
+LEAST_LENGTH = 16
 
 _ASSIGN = re.compile("(?:%s)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)" % "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key")))
 _ACCESS = re.compile("AKIA[A-Z0-9]+")
 _HEX = re.compile("[0-9a-f]{32,}")
 _CANDIDATE = re.compile("[A-Za-z0-9+/_=-]{16,}")
+_SEPARATOR = re.compile("[+/_=-]")
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _HEX_MAP = bytes(104 if chr(c) in "0123456789abcdef" else 32 for c in range(256))
 _LONG_MAP = bytes(104 if chr(c) in string.ascii_letters + string.digits + "+/_=-" else 32 for c in range(256))
@@ -44,6 +48,10 @@ def symbols(value: str) -> str:
     return value.translate(_SYMBOL)
 
 
+def _mixed(v: str) -> bool:
+    return any(c.isdigit() for c in v) and any(c.isalpha() for c in v)
+
+
 def find(text: str | None) -> tuple[list, list]:
     """Base spans ``(kind, start, end, value)`` and candidates ``(start, end, value)`` of one whole text."""
     text = text or ""
@@ -61,7 +69,7 @@ def find(text: str | None) -> tuple[list, list]:
     if b"h" * 16 in raw.translate(_LONG_MAP):
         for m in _CANDIDATE.finditer(text):
             v = m[0]
-            if any(c.isdigit() for c in v) and any(c.isalpha() for c in v) and not any(s < m.end() and m.start() < e for _, s, e, _ in base):
+            if _mixed(v) and not any(s < m.end() and m.start() < e for _, s, e, _ in base):
                 loose.append((m.start(), m.end(), v))
     return base, loose
 
@@ -152,6 +160,21 @@ class Automaton:
         self.next = [{c: [at[to], n] for c, (to, n) in self.next[s].items()} for s in order]
         self.ends, self.visits = [self.ends[s] for s in order], [self.visits[s] for s in order]
 
+    def typical_ends(self, word: str, start: int, ends: list[int]) -> list[int]:
+        """Those of the ascending ``ends`` at which the part of ``word`` from ``start`` is typical."""
+        s, total, at, out = 0, 0.0, start, []
+        for end in ends:
+            for c in word[at:end]:
+                edge = self.next[s].get(c)
+                if not edge:
+                    return out
+                total += math.log2(edge[1] / self.visits[s])
+                s = edge[0]
+            at = end
+            if self.ends[s] and self.level <= (total + math.log2(self.ends[s] / self.visits[s])) / (end - start + 1) <= self.ceiling:
+                out.append(end)
+        return out
+
     def score(self, word: str) -> float:
         """Mean log2-probability of a symbol, the end included; minus infinity for a string the automaton rejects."""
         s, total = 0, 0.0
@@ -206,6 +229,22 @@ def learn(found: DataFrame, limit: int = MAX_LABELLED) -> dict[str, Automaton]:
     return {k: infer(sorted(v)) for k, v in sorted(words.items()) if v}
 
 
+def typical_parts(value: str, automata: dict[str, Automaton]) -> list[tuple[int, int]]:
+    """The typical parts of a candidate between separators, leftmost and then longest first, none overlapping."""
+    word, out, free = symbols(value), [], 0
+    cuts = [m.start() for m in _SEPARATOR.finditer(value)]
+    ends = [*cuts, len(value)]
+    for start in [0, *(c + 1 for c in cuts)]:
+        if start < free:
+            continue
+        some = [e for e in ends[bisect_left(ends, start + LEAST_LENGTH) : bisect_right(ends, start + MAX_LENGTH)] if _mixed(value[start:e])]
+        best = max((e for a in automata.values() for e in a.typical_ends(word, start, some)), default=0)
+        if best:
+            out.append((start, best))
+            free = best
+    return out
+
+
 def spans_of(base: list, loose: list, automata: dict[str, Automaton]) -> list[tuple[str, int, int]]:
     """The base spans and those candidates whose likelihood is typical for some automaton, by start, kind and end."""
     spans = [b[:3] for b in base]
@@ -213,6 +252,8 @@ def spans_of(base: list, loose: list, automata: dict[str, Automaton]) -> list[tu
         word = symbols(value)
         if any(a.level <= a.score(word) <= a.ceiling for a in automata.values()):
             spans.append(("format", start, end))
+        else:
+            spans += [("format", start + a, start + b) for a, b in typical_parts(value, automata)]
     return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

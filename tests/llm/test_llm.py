@@ -240,6 +240,16 @@ def test_grammar_inference():
     assert model["access"].score(secrets.symbols("zzzz-zzzz")) == float("-inf")
 
 
+def test_secrets_glued_to_names():
+    model = {k: secrets.infer(sorted(secrets.symbols(v) for v in vs)) for k, vs in secrets.public_examples().items()}
+    ghp, aws = secrets.public_examples(1, seed=77)["personal"][0], "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLE9K2"
+    for text, secret in [(f"auth={ghp} x", ghp), (f"https://h.com/repo/{ghp}", ghp), (f"https://h.com/repo/{ghp}/tail?x", ghp), (f"AWS_SECRET_ACCESS_KEY={aws}", aws), (f"key: {ghp}", ghp)]:
+        spans = secrets.spans_of(*secrets.find(text), model)
+        assert [text[a:b] for k, a, b in spans if k == "format"] == [secret], text
+        assert secret not in secrets.redact(text, spans)
+    assert secrets.typical_parts("a/" * 20_000 + "b1", model) == []
+
+
 def test_secrets_edges(spark, odd, empty):
     assert secrets.scan_secrets(empty).count() == 0 and secrets.redact_secrets(empty).columns == empty.columns
     assert all(r["spans"] == [] for r in secrets.scan_secrets(odd).collect())
