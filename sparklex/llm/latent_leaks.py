@@ -12,7 +12,10 @@ direction of their own but count in a passage's length. Three passes over all do
 3. every window of every document with ``LEAST_TERMS`` terms is folded into the latent space and compared with all
    benchmark passages by cosine; one above ``least_cosine`` is a candidate, and the words around it are compared with
    the whole item by longest common subsequence (bit-parallel). An item leaks if the subsequence covers ``copied`` of it, or, as a paraphrase,
-   ``rephrased`` of it while the item's answer, its last sentence, stands there word by word.
+   ``rephrased`` of it while the item's answer, its last sentence, stands there word by word;
+4. besides, and without the latent space, an item leaks wherever ``RUN`` consecutive words of it stand, or all of its
+   words where it has fewer. Hashes of these runs are looked up for every position and hits are compared word by word;
+   the share is then that of the subsequence around the run, and the cosine is null.
 
 The benchmark is collected and broadcast: at most ``MAX_ITEMS`` items and ``MAX_WORDS`` words, checked; a larger one is
 given in several calls.
@@ -43,6 +46,8 @@ BLOCK, SPAN = 12, 4
 MAX_DF, MIN_FREQUENT, KEEP, LEAST_TERMS = 0.05, 50, 12, 3
 #: What a word is instead of a term: outside the benchmark, padding, too frequent.
 OUTSIDE, PADDING, FREQUENT = -1, -2, -3
+#: Consecutive words of an item that are a leak whatever share of it they are.
+RUN = 13
 _ROWS = 64
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -52,6 +57,25 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_WORD_BYTES).split()
 
 
+def run_length(words: list[bytes]) -> int:
+    """How many consecutive words of an item are a leak."""
+    return min(len(words), RUN)
+
+
+def run_hashes(ids: np.ndarray, lengths: list[int]):
+    """For each of the ascending ``lengths`` it and the hashes of all runs of so many ids, by a rolling polynomial."""
+    x = (ids.astype(np.int64) + 7).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    h = np.zeros(len(ids) + 1, dtype=np.uint64)
+    for m in range(1, lengths[-1] + 1):
+        if m > len(ids):
+            return
+        h = h[:-1] * np.uint64(0x94D049BB133111EB) + x[m - 1 :]
+        if m in lengths:
+            yield m, h
+
+
 def common_subsequence(a: list, b: list) -> int:
     """Length of the longest common subsequence, one big integer for a row."""
     at: dict = {}
@@ -296,6 +320,7 @@ class Index:
     passages: np.ndarray  # one unit vector a column
     owner: np.ndarray  # the item of each passage
     outside: float  # what a word outside the benchmark adds to a window's squared length
+    runs: dict[int, tuple]  # by length the hashes of the runs that are leaks, their items and places
 
 
 def build_index(items: Items, idf: np.ndarray, vectors: np.ndarray, share: float) -> Index:
@@ -306,9 +331,25 @@ def build_index(items: Items, idf: np.ndarray, vectors: np.ndarray, share: float
         starts = np.arange(max(1, len(blocks) - SPAN + 1))
         rows.append(window_sums(blocks, starts))
         owner += [i] * len(starts)
+    owner = np.array(owner)
     p = np.vstack(rows)
     p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)
-    return Index(items, folded, np.ascontiguousarray(p.T), np.array(owner), share * float(np.mean(idf**2)))
+    long = np.array([len(w) >= MIN_ITEM_WORDS for w in items.words])[owner]
+    return Index(items, folded, np.ascontiguousarray(p[long].T), owner[long], share * float(np.mean(idf**2)), build_runs(items))
+
+
+def build_runs(items: Items) -> dict[int, tuple]:
+    """By length the runs that are leaks: their hashes, ascending, and the item and place of each."""
+    needs, found = [run_length(w) for w in items.words], {}
+    for i, (words, need) in enumerate(zip(items.words, needs)):
+        for _, h in run_hashes(term_ids(words, items.terms), [need]):
+            found.setdefault(need, []).append((h, np.full(len(h), i, dtype=np.int32), np.arange(len(h), dtype=np.int32)))
+    out = {}
+    for need, parts in sorted(found.items()):
+        h, item, place = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(h, kind="stable")
+        out[need] = h[order], item[order], place[order]
+    return out
 
 
 class Searcher:
@@ -338,6 +379,18 @@ class Searcher:
             b, p = np.nonzero(cos >= self.least_cosine)
             yield from zip(some[b].tolist(), ix.owner[p].tolist(), cos[b, p].tolist())
 
+    def runs(self, ids: np.ndarray):
+        """(position, length, item, place in the item) wherever the hash of a run of an item stands."""
+        lengths = list(self.ix.runs)
+        known = np.concatenate([[0], np.cumsum((ids != OUTSIDE) & (ids != PADDING))])
+        for m, h in run_hashes(ids, lengths):
+            hashes, item, place = self.ix.runs[m]
+            at = np.flatnonzero(known[m:] - known[:-m] == m)
+            lo, hi = (np.searchsorted(hashes, h[at], side=x) for x in ("left", "right"))
+            for k in np.flatnonzero(hi > lo):
+                for j in range(lo[k], hi[k]):
+                    yield int(at[k]), m, int(item[j]), int(place[j])
+
     def verify(self, words: list[bytes], block: int, item: int) -> tuple[float, bool]:
         """The item's share in the longest common subsequence with the words around a block, and whether its answer
         stands there."""
@@ -361,7 +414,8 @@ class Searcher:
         out: list[dict] = [{} for _ in texts]
         best: dict = {}
         at = np.array(first)
-        for block, item, cos in self.candidates(np.concatenate(ids)):
+        ids = np.concatenate(ids)
+        for block, item, cos in self.candidates(ids):
             d = int(np.searchsorted(at, block, side="right")) - 1
             block -= first[d]
             if block * BLOCK < len(words[d]) and cos > best.get((d, item, block // SPAN), (0.0, 0))[0]:
@@ -372,7 +426,15 @@ class Searcher:
             share, answered = self.verify(words[d], block, item)
             if (share >= self.copied or answered) and share > out[d].get(item, (0.0,))[0]:
                 out[d][item] = (share, cos)
-        return [sorted((self.ix.items.ids[i], s, c) for i, (s, c) in o.items()) for o in out]
+        for i, m, item, place in self.runs(ids):
+            d = int(np.searchsorted(at, i // BLOCK, side="right")) - 1
+            i -= first[d] * BLOCK
+            target = self.ix.items.words[item]
+            if item not in out[d] and words[d][i : i + m] == target[place : place + m]:
+                near = words[d][max(0, i - len(target)) : i + m + len(target)]
+                out[d][item] = (common_subsequence(target, near) / len(target), None)
+        order = lambda x: (x[0] is not None, x[0] if x[0] is not None else 0, x[1])
+        return [sorted(((self.ix.items.ids[i], s, c) for i, (s, c) in o.items()), key=order) for o in out]
 
 
 def find_leaks(

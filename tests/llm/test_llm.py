@@ -166,6 +166,18 @@ def test_leaks_paraphrase_and_edges(spark, odd, empty):
     assert carried.columns == [*odd.columns, "leaks"] and carried.count() == len(ODD)
 
 
+def test_leaks_of_parts(spark):
+    rng = np.random.default_rng(2)
+    word = lambda lo, n: " ".join(f"q{x}" for x in rng.permutation(np.arange(lo, lo + 400))[:n])
+    item, long_item, other = word(0, 59), word(400, 200), [word(1000, 90) for _ in range(3)]
+    bench = spark.createDataFrame([(1, item), (2, long_item)], "item_id bigint, text string")
+    inside = lambda t, part: " ".join([t, part, t])
+    texts = [inside(other[0], " ".join(item.split()[5:35])), inside(other[1], " ".join(long_item.split()[70:120])), inside(other[2], " ".join(item.split()[5:17]))]
+    rows = latent_leaks.find_leaks(table(spark, texts), bench).collect()
+    assert {r["doc_id"]: [x["item"] for x in r["leaks"]] for r in rows} == {0: [1], 1: [2], 2: []}
+    assert next(r for r in rows if r["doc_id"] == 1)["leaks"][0]["share"] == 0.25
+
+
 # 4 toxicity
 
 
