@@ -178,6 +178,20 @@ def test_leaks_of_parts(spark):
     assert next(r for r in rows if r["doc_id"] == 1)["leaks"][0]["share"] == 0.25
 
 
+def test_leaks_of_short_items_and_null_ids(spark):
+    rng = np.random.default_rng(2)
+    word = lambda lo, n: " ".join(f"q{x}" for x in rng.permutation(np.arange(lo, lo + 400))[:n])
+    item, long_item, other = word(0, 59), word(400, 200), [word(1000, 90) for _ in range(6)]
+    han = "北京大学位于中国首都其图书馆藏书丰富历史悠久著名学者众多校园风景优美"
+    bench = spark.createDataFrame([(1, item), (2, long_item), (3, "Who wrote Faust?"), (4, han), (None, "a null id zq1 zq2 zq3 zq4 zq5 zq6"), (5, "...")], "item_id bigint, text string")
+    inside = lambda t, part: " ".join([t, part, t])
+    texts = [inside(other[0], " ".join(item.split()[5:35])), inside(other[1], " ".join(long_item.split()[70:120])), inside(other[2], "who wrote faust"), "他说" + han + "吗", inside(other[3], "a null id zq1 zq2 zq3 zq4 zq5 zq6"), inside(other[4], " ".join(item.split()[5:17])), inside(other[5], "who then wrote faust")]
+    rows = latent_leaks.find_leaks(table(spark, texts), bench).collect()
+    got = {r["doc_id"]: [x["item"] for x in r["leaks"]] for r in rows}
+    assert got == {0: [1], 1: [2], 2: [3], 3: [4], 4: [None], 5: [], 6: []}
+    assert next(r for r in rows if r["doc_id"] == 1)["leaks"][0]["share"] == 0.25
+
+
 # 4 toxicity
 
 
