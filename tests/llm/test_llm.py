@@ -350,7 +350,8 @@ def test_secrets_query_digest(spark, tmp_path):
     want = base_spans(texts[0])
     assert got[0]["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest() and (got[0]["n_assign"], got[0]["n_access"], got[0]["n_hex"]) == (1, 1, 1)
     assert got[2]["base_sha256"] == got[3]["base_sha256"] == hashlib.sha256(b"").hexdigest() and got[3]["spans"] == ""
-    assert got[0]["spans"].startswith("assign:0:")
+    assert got[0]["spans"].startswith("assign:0:") and (got[1]["n_scored"], got[0]["n_scored"]) == (1, 3)
+    assert got[0]["best_format"] and -10 < got[0]["best_likelihood"] < 0 and got[2]["best_format"] is None
 
 
 def test_grammar_inference():
@@ -365,13 +366,79 @@ def test_grammar_inference():
 
 
 def test_secrets_glued_to_names():
-    model = {k: secrets.infer(sorted(secrets.symbols(v) for v in vs)) for k, vs in secrets.public_examples().items()}
+    model = secrets.learn_formats({})
     ghp, aws = secrets.public_examples(1, seed=77)["personal"][0], "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLE9K2"
-    for text, secret in [(f"auth={ghp} x", ghp), (f"https://h.com/repo/{ghp}", ghp), (f"https://h.com/repo/{ghp}/tail?x", ghp), (f"AWS_SECRET_ACCESS_KEY={aws}", aws), (f"key: {ghp}", ghp)]:
+    for text, secret in [(f"auth={ghp} x", ghp), (f"https://h.com/repo/{ghp}", ghp), (f"https://h.com/repo/{ghp}/tail?x", ghp), (f"AWS_SECRET_ACCESS_KEY={aws}", aws), (f"key: {ghp}", ghp), (f"see {ghp}.", ghp)]:
         spans = secrets.spans_of(*secrets.find(text), model)
-        assert [text[a:b] for k, a, b in spans if k == "format"] == [secret], text
+        assert [text[a:b] for k, a, b, *_ in spans if k == "format"] == [secret], text
         assert secret not in secrets.redact(text, spans)
     assert secrets.typical_parts("a/" * 20_000 + "b1", model) == []
+    [(k, a, b, *_), (k2, *_)] = secrets.spans_of(*secrets.find(f"{ghp}/password=abcdefgh1"), model)
+    assert (k, a, b, k2) == ("format", 0, len(ghp), "assign")
+
+
+def test_secrets_planted_formats_and_ordinary_strings():
+    """Recall of credentials of formats that the base rules miss, and precision on strings that are none."""
+    model = secrets.learn_formats({})
+    rng = np.random.default_rng(4)
+    found = total = extra = 0
+    for kind, values in secrets.public_examples(150, seed=1234).items():
+        if kind in ("access", "hex"):
+            continue
+        for v in values:
+            text = " ".join([*rng.choice(["some", "words", "stand", "here"], 5), f"{rng.choice(['', 'id=', 'x: ', '(', 'https://h.org/a/'])}{v}", "and", "more"])
+            spans = [text[a:b] for k, a, b, *_ in secrets.spans_of(*secrets.find(text), model) if k == "format"]
+            found, total, extra = found + (v in spans), total + 1, extra + sum(s not in v for s in spans)
+    assert found >= 0.9 * total and extra <= 0.02 * total  # the rest of extra reaches into the path before a secret
+    ordinary = secrets.ordinary_examples(3_000, seed=4321) + [
+        "https://www.example2.com/articles2020/some/long/path/segment1", "2024-01-15T10:20:30.123456Z-build", "com.example.project2.internal.HttpServerConfiguration", "the-2nd-best-way-to-cook-rice-in-2024",
+        "IMG_20240115_102030.jpeg", "release-candidate-v1.2.3-rc1", "user_profile_settings_page_2_of_10", "COVID-19-vaccination-programme",
+    ]
+    flagged = [w for w in ordinary if secrets.spans_of(*secrets.find(w), model)]
+    assert len(flagged) <= 0.005 * len(ordinary), flagged[:20]
+
+
+def test_secrets_likelihood_brute_force():
+    """Scores and typical parts against sums over all paths of the plain transition table."""
+    model = secrets.learn_formats({"assign": ["a1b2c3d4e5"] * 3 + ["zz99zz99"]})
+    rng = np.random.default_rng(8)
+    chars = list("abGZ019_-/.=")
+    examples = [v for vs in secrets.public_examples(3, seed=55).values() for v in vs]
+    for i in range(300):
+        value = "".join(rng.choice(chars, rng.integers(1, 60))) if i % 3 else str(rng.choice(["", "x=", "1/"])) + str(rng.choice(examples))
+        word = secrets.symbols(value)
+
+        def plain_score(a, w):
+            state, logs = 0, 0.0
+            for c in w:
+                if c not in a.next[state]:
+                    return -np.inf
+                logs += np.log2(a.next[state][c][1] / a.visits[state])
+                state = a.next[state][c][0]
+            return (logs + np.log2(a.ends[state] / a.visits[state])) / (len(w) + 1) if a.ends[state] else -np.inf
+
+        scores = {k: plain_score(a, word) for k, a in model.automata.items()}
+        name, best = model.best(value)
+        assert best == pytest.approx(max(scores.values())) and scores[name] == pytest.approx(best) if name else max(scores.values()) == -np.inf
+        stops = [j for j, c in enumerate(value) if c in "+/_=.-"] + [len(value)]
+        parts, free = [], 0
+        for start in [0] + [j + 1 for j in stops[:-1]]:
+            if start < free:
+                continue
+            good = []
+            for end in stops:
+                w = word[start:end]
+                if end - start >= 16 and any(c in "9" for c in w) and any(c in "fFzZ" for c in w):
+                    ordinary = sum(model.plain[w[j : j + 2]] for j in range(len(w) - 1))
+                    for k, a in model.automata.items():
+                        x = plain_score(a, w)
+                        if len(w) <= a.longest and a.level <= x <= a.ceiling and x * (len(w) + 1) > ordinary:
+                            good.append((end, x, k))
+            if good:
+                end, x, k = max(good)
+                parts.append((start, end, k))
+                free = end
+        assert [(a, b, k) for a, b, k, _ in secrets.typical_parts(value, model)] == parts
 
 
 def test_secrets_edges(spark, odd, empty):
