@@ -1,7 +1,10 @@
-"""Near copies by exact Jaccard similarity, for the pipeline's near-duplicate stage.
+"""SimHash links verified and completed to all near copies of a Jaccard similarity (operator 10 in the pipeline).
 
 Two texts are linked if the sets of their shingles (``shingle`` words, ASCII letters in lower case) have a Jaccard
-similarity of ``percent`` hundredths at least. The search is exact, by prefixes: in any fixed order of the shingles, two
+similarity of ``percent`` hundredths at least. First come the links that SimHash finds: texts whose fingerprints, over
+the same shingles, are equal or share pigeonhole blocks and lie within ``distance`` bits, verified on the sets. Such
+fingerprints differ in some ten bits at a similarity of 0.8, which no radius that blocks can serve covers, so a search
+that is exact follows, for pairs that those links leave in different components. It goes by prefixes: in any fixed order of the shingles, two
 such sets share one among the first n - ceil(percent n / 100) + 1 of each. The order puts shingles that are frequent in
 a sample of the documents last, which keeps the groups behind a shingle small; whatever the sample holds, no pair is lost.
 
@@ -22,8 +25,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from sparklex.llm._text import fresh, map_rows
+from sparklex.llm.simhash import close_pairs
 from sparklex.plans.components import connected_components
 from sparklex.plans.scratch import Scratch
+from sparklex.plans.skew import join_counted
 
 #: Documents of the sample, the frequent shingles taken from it at most, and the count that makes one frequent.
 SAMPLE, MAX_FREQUENT, FREQUENT = 20_000, 100_000, 4
@@ -31,7 +36,7 @@ SAMPLE, MAX_FREQUENT, FREQUENT = 20_000, 100_000, 4
 PIVOTS = 4
 _PARITY = [f"m{i}" for i in range(4)]
 _SET = StructType([StructField("s", ArrayType(LongType()))])
-_SIGNATURE = StructType([*[StructField(c, LongType()) for c in ("n", *_PARITY)], StructField("prefix", ArrayType(LongType()))])
+_SIGNATURE = StructType([*[StructField(c, LongType()) for c in ("n", "fp", *_PARITY)], StructField("prefix", ArrayType(LongType()))])
 
 
 def shingle_set(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
@@ -48,8 +53,16 @@ def _parity(h: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
 
 
+def _fingerprint(h: np.ndarray) -> int:
+    """A bit is set if over half of the hashes have it."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(h), 1 << 14):
+        ones += np.unpackbits(h[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
+
+
 def _signatures(docs: DataFrame, frequent: dict[int, int], percent: int, shingle: int, seed: int) -> DataFrame:
-    """``u``, the size of the set, its parities and its prefix, a row for each row."""
+    """``u``, the size of the set, its fingerprint, its parities and its prefix, a row for each row."""
     known = np.array(sorted(frequent), dtype=np.int64)
     shared = docs.sparkSession.sparkContext.broadcast((known, np.array([frequent[int(x)] for x in known], dtype=np.int64)))
 
@@ -63,14 +76,14 @@ def _signatures(docs: DataFrame, frequent: dict[int, int], percent: int, shingle
             if len(known):
                 at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 order = np.lexsort((h, np.where(known[at] == h, counts[at], 0)))
-            return (n, *_parity(h), h[order[: n - -(-percent * n // 100) + 1]].tolist())
+            return (n, _fingerprint(h), *_parity(h), h[order[: n - -(-percent * n // 100) + 1]].tolist())
 
         return one
 
     return map_rows(docs, ["u"], ["text"], make, _SIGNATURE)
 
 
-def close_texts(docs: DataFrame, percent: int = 80, shingle: int = 5, seed: int = 42, hot: int = 64) -> DataFrame:
+def close_texts(docs: DataFrame, percent: int = 80, shingle: int = 5, seed: int = 42, distance: int = 2, hot: int = 64) -> DataFrame:
     """``(a, b)``: links between distinct values of ``u`` (the hash of ``text``) whose closure is that of all pairs of
     texts that are similar enough."""
     if not 0 < percent <= 100:
@@ -86,7 +99,7 @@ def close_texts(docs: DataFrame, percent: int = 80, shingle: int = 5, seed: int
     rows = scratch.save(_signatures(docs, frequent, percent, shingle, seed), "signatures")
     tokens = rows.select("u", "n", F.explode("prefix").alias("t")).repartition("t").distinct()
     shared = scratch.save(tokens.withColumn("c", F.count("*").over(Window.partitionBy("t"))).where("c > 1"), "shared")
-    info = scratch.save(rows.select("u", "n", *_PARITY).join(shared.select("u").distinct(), "u", "left_semi").distinct(), "members")
+    info = scratch.save(rows.select("u", "n", *_PARITY, F.col("u").alias("r")).join(shared.select("u").distinct(), "u", "left_semi").distinct(), "members")
 
     def sizes(x, y):
         return (100 * x >= percent * y) & (100 * y >= percent * x)
@@ -101,6 +114,8 @@ def close_texts(docs: DataFrame, percent: int = 80, shingle: int = 5, seed: int
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = scratch.save(pairs, "pairs")
+        if pairs.isEmpty():
+            return pairs
         wanted = scratch.save(pairs.select(F.col("a").alias("u")).unionByName(pairs.select(F.col("b").alias("u"))).distinct(), "wanted")
         whole = scratch.save(sets(docs.join(wanted, "u", "left_semi").dropDuplicates(["u"])), "sets")
         each = pairs.join(whole.select(F.col("u").alias("a"), F.col("s").alias("sa")), "a").join(whole.select(F.col("u").alias("b"), F.col("s").alias("sb")), "b")
@@ -108,20 +123,29 @@ def close_texts(docs: DataFrame, percent: int = 80, shingle: int = 5, seed: int
         return scratch.save(each.where(right).select("a", "b"), "links")
 
     def worth(pairs: DataFrame) -> DataFrame:
-        return pairs.distinct().join(side(info, "a"), "a").join(side(info, "b"), "b").where(alike("a", "b")).select("a", "b")
+        return pairs.distinct().join(side(info, "a", "r"), "a").join(side(info, "b", "r"), "b").where((F.col("ar") != F.col("br")) & alike("a", "b")).select("a", "b")
+
+    marks = scratch.save(rows.groupBy("fp").agg(F.min("u").alias("head")), "marks")
+    alike_marks = close_pairs(marks.select("fp"), distance, distance + 2, scratch=scratch)
+    of = lambda x: marks.select(F.col("fp").alias(x), F.col("head").alias(f"h{x}"))
+    both = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    first = rows.select("fp", "u").distinct().join(marks, "fp").where("u <> head").select(*both("u", "head"))
+    first = verified(worth(first.unionByName(alike_marks.join(of("a"), "a").join(of("b"), "b").select(*both("ha", "hb")))))
+    roots = scratch.save(connected_components(first).select(F.col("node").alias("u"), "root"), "first-roots")
+    info = scratch.save(info.join(roots, "u", "left").select("u", "n", *_PARITY, F.coalesce("root", "u").alias("r")), "rooted")
 
     cool, warm = shared.where(F.col("c") <= hot), shared.where(F.col("c") > hot)
     x, y = cool.select("t", F.col("u").alias("a"), F.col("n").alias("an")), cool.select("t", F.col("u").alias("b"), F.col("n").alias("bn"))
     pairs = x.join(y, (x["t"] == y["t"]) & (x["a"] < y["b"]) & sizes(x["an"], y["bn"])).select("a", "b")
     if warm.isEmpty():
-        return verified(worth(pairs))
+        return first.unionByName(verified(worth(pairs)))
     pivots = warm.groupBy("t").agg(F.array(*[F.min_by("u", F.xxhash64("u", "t", F.lit(i))) for i in range(PIVOTS)]).alias("p")).select("t", F.explode("p").alias("p"))
     stars = warm.join(pivots, "t").where("u <> p").select(F.least("u", "p").alias("a"), F.greatest("u", "p").alias("b"))
-    links = verified(worth(pairs.unionByName(stars)))
+    links = first.unionByName(verified(worth(pairs.unionByName(stars))))
     roots = connected_components(links).select(F.col("node").alias("u"), "root")
     open_ = warm.select("t", "u").join(roots, "u", "left").select("t", "u", F.coalesce("root", "u").alias("r"))
     several = open_.groupBy("t").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi").select("t")
-    open_ = scratch.save(open_.join(several, "t", "left_semi").join(info, "u"), "open")
+    open_ = scratch.save(open_.join(several, "t", "left_semi").join(info.drop("r"), "u"), "open")
     x, y = side(open_, "a", "t", "r"), side(open_, "b", "t", "r")
     rest = x.join(y, (x["at"] == y["bt"]) & (x["a"] < y["b"]) & (x["ar"] != y["br"]) & alike("a", "b")).select("a", "b").distinct()
     return links.unionByName(verified(rest))
@@ -138,9 +162,10 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **settings)
     roots = connected_components(close_texts(docs.select("u", "text"), **settings)).select(F.col("node").alias("u"), "root")
     each = docs.where("k is not null").select("k", "u")
     texts = each.groupBy("u").agg(F.min("k").alias("least"), F.count("*").alias("c")).join(roots, "u", "left").where("c > 1 or root is not null")
-    texts = scratch.save(texts.select("u", "least", F.coalesce("root", "u").alias("root")), "texts")
+    texts = scratch.save(texts.select("u", "least", "c", F.coalesce("root", "u").alias("root")), "texts")
     heads = texts.groupBy("root").agg(F.min(F.struct("least", "u")).alias("head")).select("root", F.col("head.least").alias("hk"), F.col("head.u").alias("hu"))
-    rows = scratch.save(each.join(texts.join(heads, "root").select("u", "hk", "hu"), "u").groupBy("k", "u", "hk", "hu").count(), "rows")
+    headed = scratch.save(texts.join(heads, "root").select("u", "c", "hk", "hu"), "heads")
+    rows = scratch.save(join_counted(each, headed, ["u"], "c", docs.count()).groupBy("k", "u", "hk", "hu").count(), "rows")
     stays = (F.col("k") == F.col("hk")) & (F.col("u") == F.col("hu"))
     gk, gu, hashed = fresh(df, "_gone"), fresh(df, "_gone_text"), fresh(df, "_hash")
     named = lambda t: t.select(F.col("k").alias(gk), F.col("u").alias(gu))

@@ -7,8 +7,8 @@ Hamming distance. Only distinct fingerprints are joined, so copies never meet ea
 A block shared by more than ``hot_block`` distinct fingerprints is not joined pairwise. Its members are linked exactly
 through ball points instead: two fingerprints are within two bits of each other if and only if some point lies within
 one bit of both, so every member names the 65 points around it and members that name the same point are linked to the
-smallest of them. That is linear in the members and loses no link; it serves distances up to two, and greater ones join
-every block. Components come from contraction rounds over written tables.
+smallest of them. That is linear in the members and loses no link; it serves distances up to two, and greater ones are
+refused. Components come from contraction rounds over written tables.
 
 Defined cases: a null text counts as an empty one; a text without words has fingerprint zero and is linked like any
 other; a null doc_id belongs to its component but never names it (a component of null ids alone has a null id);
@@ -23,9 +23,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from sparklex.llm._text import fresh, map_rows
+from sparklex.llm._text import map_rows
 from sparklex.plans.components import connected_components
 from sparklex.plans.scratch import Scratch
+from sparklex.plans.skew import join_counted
 
 _BLOCK = 1 << 14
 
@@ -69,24 +70,21 @@ def _masks(blocks: int, distance: int) -> list[int]:
 
 def close_pairs(fps: DataFrame, distance: int = 2, blocks: int = 4, hot_block: int = 256, scratch: Scratch | None = None) -> DataFrame:
     """``(a, b)``: links between distinct values of ``fp`` whose closure is that of all pairs within ``distance``."""
-    if not 0 < distance < blocks:
-        raise ValueError("there must be more blocks than differing bits, and at least one such bit")
+    if not 0 < distance <= 2 or blocks <= distance:
+        raise ValueError("fingerprints are linked at one or two differing bits, over more blocks than that")
     scratch = scratch or Scratch(fps.sparkSession, "simhash")
     named = F.explode(F.array(*[F.struct(F.lit(i).alias("m"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(_masks(blocks, distance))]))
     keyed = fps.select("fp", named.alias("k")).select("fp", "k.m", "k.v")
-    sizes = keyed.groupBy("m", "v").agg(F.count("*").alias("n")).where("n > 1")
-    shared = scratch.save(keyed.join(sizes, ["m", "v"]), "blocks")
-    most = hot_block if distance <= 2 else (1 << 62)
-    cool = shared.where(F.col("n") <= most)
+    sizes = scratch.save(keyed.groupBy("m", "v").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    shared = scratch.save(join_counted(keyed, sizes, ["m", "v"], "n", fps.count() * len(_masks(blocks, distance))), "blocks")
+    cool = shared.where(F.col("n") <= hot_block)
     other = cool.select("m", "v", F.col("fp").alias("b"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
     pairs = cool.select("m", "v", F.col("fp").alias("a")).join(other, (cool["m"] == other["m"]) & (cool["v"] == other["v"]) & near)
     pairs = pairs.select("a", "b")
-    if distance > 2:
-        return pairs
     bits = [(1 << i) - (1 << 64) * (i == 63) for i in range(64)] if distance == 2 else []
     around = F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(x)) for x in bits]))
-    points = shared.where(F.col("n") > most).select("fp").distinct()
+    points = shared.where(F.col("n") > hot_block).select("fp").distinct()
     if distance == 1:  # a shared point would reach two bits; neighbours at one bit are members themselves
         points = points.select("fp", F.explode(F.array(*[F.least(F.col("fp"), F.col("fp").bitwiseXOR(F.lit((1 << i) - (1 << 64) * (i == 63)))) for i in range(64)])).alias("p"), F.lit(0).alias("z"))
         points = points.groupBy("p").agg(F.collect_set("fp").alias("s"))
@@ -101,33 +99,28 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     """``key``, ``fp`` and ``component_id`` (the smallest key reachable over links), a row for each row."""
     scratch = Scratch(df.sparkSession, "simhash")
     each = scratch.save(fingerprints(df, key, text, shingle, seed).withColumnRenamed(key, "_key"), "fingerprints")
-    fps = scratch.save(each.groupBy("fp").agg(F.min("_key").alias("least")), "distinct")
+    fps = scratch.save(each.groupBy("fp").agg(F.min("_key").alias("least"), F.count("*").alias("n")), "distinct")
     links = close_pairs(fps.select("fp"), distance, blocks, hot_block, scratch)
     roots = connected_components(links).select(F.col("node").alias("fp"), "root")
-    classes = fps.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    classes = fps.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     classes = scratch.save(classes, "classes")
     heads = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = classes.join(heads, "root").select("fp", "component_id")
-    return each.join(classes, "fp").select(F.col("_key").alias(key), "fp", "component_id")
+    classes = scratch.save(classes.join(heads, "root").select("fp", "n", "component_id"), "heads")
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    return join_counted(each, classes, ["fp"], "n", total).select(F.col("_key").alias(key), "fp", "component_id")
 
 
-def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """``df`` with one row of each component, that of the smallest key; all columns as they are.
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80, shingle: int = 5, seed: int = 42, distance: int = 2, hot: int = 64) -> DataFrame:
+    """``df`` with one row of each component of near copies, that of the smallest key; all columns as they are.
 
-    Rows are removed by an anti-join on the keys that go: a shuffled hash join at every size, since those keys grow with
-    the input and must not be broadcast; texts cross the network once and are not sorted. Repeated rows of a key that
-    stays are brought down to one where there are any. A null key names no row, so such rows stay.
+    Texts are linked if their sets of ``shingle``-word shingles have a Jaccard similarity of ``percent`` hundredths.
+    Fingerprints of these shingles that pigeonhole blocks find within ``distance`` bits give the first links, each
+    verified on the sets. At that similarity fingerprints differ in some ten bits, and up to twenty, where no choice of
+    blocks is selective; ``near_copies`` therefore completes the links exactly, between components only.
     """
-    scratch = Scratch(df.sparkSession, "simhash")
-    rows = scratch.save(near_duplicates(df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")), "_key", "_text", **settings).where("_key is not null").select("_key", "component_id"), "classes")
-    name = fresh(df, "_gone")
-    on = F.col(f"`{key}`") == F.col(name)
-    out = df.join(rows.where("_key <> component_id").select(F.col("_key").alias(name)).distinct().hint("shuffle_hash"), on, "left_anti")
-    twice = rows.where("_key = component_id").groupBy("_key").count().where("count > 1").select(F.col("_key").alias(name))
-    twice = scratch.save(twice, "repeated")
-    if not twice.isEmpty():
-        out = out.join(twice, on, "left_anti").unionByName(out.join(twice, on, "left_semi").dropDuplicates([key]))
-    return out
+    from sparklex.llm import near_copies
+
+    return near_copies.keep_one(df, key, text, percent=percent, shingle=shingle, seed=seed, distance=distance, hot=hot)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -644,6 +644,8 @@ def test_simhash_keep_one(spark, odd, empty):
     assert kept.columns == odd.columns and simhash.keep_one(empty).count() == 0
     ids = Counter(r["doc_id"] for r in kept.collect())
     assert ids == Counter([0, 3, 4, 5, 6, None])
+    with pytest.raises(ValueError):
+        simhash.close_pairs(odd.select(F.col("doc_id").alias("fp")), distance=3, blocks=6)
 
 
 # near copies
@@ -692,7 +694,16 @@ def test_pipeline_stages(spark):
     good = {r["doc_id"] for r in rule_ensemble.op2_rule_ensemble(spark, SF).collect() if r["predicted"]}
     assert {r["doc_id"] for r in kept.collect()} == good
     once = C.near_duplicates(spark, kept, SF)
-    comps = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(kept).collect()}
+    # by the stage's own settings, five words and a similarity of 0.8, against all pairs
+    sets = {r["doc_id"]: set(near_copies.shingle_set(r["text"]).tolist()) for r in kept.collect()}
+    comps = {d: d for d in sets}
+    for _ in sets:
+        before = dict(comps)
+        for a, b in itertools.combinations(sorted(sets), 2):
+            if comps[a] != comps[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                comps[a] = comps[b] = min(comps[a], comps[b])
+        if before == comps:
+            break
     assert once.columns == columns and {r["doc_id"] for r in once.collect()} == {d for d, c in comps.items() if d == c}
     clean = C.decontamination(spark, once, SF)
     assert clean.columns == columns and clean.count() <= once.count()
