@@ -20,9 +20,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
     live = scratch.save(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = None
-    while True:
-        if labels is not None and live.isEmpty():
-            break
+    while not live.isEmpty():
         step = live.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("p"))
         step = scratch.save(step, "step")
         for _ in range(2):
@@ -45,4 +43,4 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         scratch.drop(live)
         scratch.drop(step)
         live = nxt
-    return labels
+    return labels if labels is not None else live.select(F.col("a").alias("node"), F.col("b").alias("root"))
