@@ -17,8 +17,11 @@ direction of their own but count in a passage's length. Three passes over all do
    words where it has fewer. Hashes of these runs are looked up for every position and hits are compared word by word;
    the share is then that of the subsequence around the run, and the cosine is null.
 
-The benchmark is collected and broadcast: at most ``MAX_ITEMS`` items and ``MAX_WORDS`` words, checked; a larger one is
-given in several calls.
+The benchmark is read in order, partition by partition, and searched for in blocks of ``MAX_ITEMS`` items and
+``MAX_WORDS`` words (or one longer item), so that what the driver, a broadcast and a task hold is bounded however large
+it is. Each block takes its own passes; what several blocks find is joined by the texts' hashes. The cosines compare
+every window with all passages of a block: the benchmark is the stated set of queries, and the work is linear in the
+documents.
 
 In scripts without spaces every character is a word, and ``RUN`` is twice as long for items that are mostly such ones.
 
@@ -31,9 +34,11 @@ an empty table gives an empty table; other columns play no part.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
+from functools import reduce
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +47,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from sparklex.plans.scratch import Scratch
 
-MAX_ITEMS, MAX_WORDS, MIN_ITEM_WORDS = 100_000, 10_000_000, 8
+MAX_ITEMS, MAX_WORDS, MIN_ITEM_WORDS = 5_000, 250_000, 8
 #: Words of a block, blocks of a window.
 BLOCK, SPAN = 12, 4
 #: Share and number of documents beyond which a word is no term, the terms that each item keeps, those of a window.
@@ -117,23 +122,28 @@ class Items:
     answers: list[list[bytes]]
     terms: dict[bytes, int] = field(default_factory=dict)
 
+    def numbered(self) -> Items:
+        self.terms = {w: i for i, w in enumerate(sorted({w for ws in self.words for w in ws}))}
+        return self
 
-def read_items(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> Items:
-    rows = benchmark.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).orderBy("k", "t").limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"over {MAX_ITEMS} benchmark items; search for them in several calls")
-    items = Items([], [], [])
-    for r in rows:
+
+def item_blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", most_items: int = MAX_ITEMS, most_words: int = MAX_WORDS) -> Iterator[Items]:
+    """The items with words, in blocks, by id and text."""
+    items, n = Items([], [], []), 0
+    for r in benchmark.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t")).orderBy("k", "t").toLocalIterator():
         w = words_of(r["t"])
-        if w:
-            sentences = [words_of(s) for s in re.split(r"[.?!\n]+", r["t"])]
-            items.ids.append(r["k"])
-            items.words.append(w)
-            items.answers.append(next((s for s in reversed(sentences) if len(s) >= 2), []))
-    if sum(map(len, items.words)) > MAX_WORDS:
-        raise ValueError(f"over {MAX_WORDS} words in the benchmark; search for its items in several calls")
-    items.terms = {w: i for i, w in enumerate(sorted({w for ws in items.words for w in ws}))}
-    return items
+        if not w:
+            continue
+        if items.ids and (len(items.ids) == most_items or n + len(w) > most_words):
+            yield items.numbered()
+            items, n = Items([], [], []), 0
+        sentences = [words_of(s) for s in re.split(r"[.?!\n]+", r["t"])]
+        items.ids.append(r["k"])
+        items.words.append(w)
+        items.answers.append(next((s for s in reversed(sentences) if len(s) >= 2), []))
+        n += len(w)
+    if items.ids:
+        yield items.numbered()
 
 
 def term_ids(words: list[bytes], terms: dict[bytes, int]) -> np.ndarray:
@@ -424,20 +434,21 @@ class Searcher:
             ids += [term_ids(w, self.ix.items.terms), np.full(pad, PADDING, dtype=np.int32)]
             first.append(first[-1] + (len(w) + pad) // BLOCK)
         out: list[dict] = [{} for _ in texts]
-        best: dict = {}
+        near: dict = defaultdict(list)
         at = np.array(first)
         ids = np.concatenate(ids)
         for block, item, cos in self.candidates(ids):
             d = int(np.searchsorted(at, block, side="right")) - 1
             block -= first[d]
-            if block * BLOCK < len(words[d]) and cos > best.get((d, item, block // SPAN), (0.0, 0))[0]:
-                best[d, item, block // SPAN] = (cos, block)
-        for (d, item, _), (cos, block) in best.items():
-            if out[d].get(item, (0.0,))[0] >= 1.0:
-                continue
-            share, answered = self.verify(words[d], block, item)
-            if (share >= self.copied or answered) and share > out[d].get(item, (0.0,))[0]:
-                out[d][item] = (share, cos)
+            if block * BLOCK < len(words[d]):
+                near[d, item, block // SPAN].append((-cos, block))
+        for (d, item, _), windows in near.items():  # of overlapping windows those with the greatest cosines first
+            for cos, block in sorted(windows):
+                share, answered = self.verify(words[d], block, item)
+                if share >= self.copied or answered:
+                    if share > out[d].get(item, (0.0,))[0]:
+                        out[d][item] = (share, -cos)
+                    break
         for i, m, item, place in self.runs(ids):
             d = int(np.searchsorted(at, i // BLOCK, side="right")) - 1
             i -= first[d] * BLOCK
@@ -451,24 +462,44 @@ class Searcher:
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, keys: tuple[str, ...] = ("doc_id",), text: str = "text", item_key: str = "item_id", item_text: str = "text",
-    rank: int = 256, extra: int = 16, least_cosine: float = 0.3, copied: float = 0.6, rephrased: float = 0.45, seed: int = 3,
+    rank: int = 256, extra: int = 16, least_cosine: float = 0.3, copied: float = 0.6, rephrased: float = 0.45, seed: int = 3, most_items: int = MAX_ITEMS, most_words: int = MAX_WORDS,
 ) -> DataFrame:
     """``keys`` and ``leaks``: the items found in a document with the share that is there and the cosine, by item."""
+    leak = StructType([StructField("item", benchmark.schema[item_key].dataType), StructField("share", DoubleType()), StructField("cosine", DoubleType())])
+    names = [f"k{i}" for i in range(len(keys))]
+    blocks = item_blocks(benchmark, item_key, item_text, most_items, most_words)
+    items, more = next(blocks, None), next(blocks, None)
+    narrow = docs.select(*[F.col(f"`{c}`").alias(k) for k, c in zip(names, keys)], F.col(f"`{text}`").alias("_text"))
+    renamed = dict(zip(names, keys))
+    if items is None:
+        return narrow.select(*names, F.array().cast(ArrayType(leak)).alias("leaks")).withColumnsRenamed(renamed)
+    settings = (leak, rank, extra, least_cosine, copied, rephrased, seed)
+    if more is None:
+        return search_block(narrow, names, items, *settings).withColumnsRenamed(renamed)
+    # a text's leaks depend on the text alone: what each block finds is kept by two hashes of it
+    scratch, hashes = Scratch(docs.sparkSession, "leaks"), [F.xxhash64("_text").alias("_u"), F.hash("_text").alias("_v")]
+    hashed, parts = narrow.select("_text", *hashes), []
+    for some in chain([items, more], blocks):
+        found = search_block(hashed, ["_u", "_v"], some, *settings).where(F.size("leaks") > 0)
+        parts.append(scratch.save(found.dropDuplicates(["_u", "_v"]), "block"))
+    each = reduce(DataFrame.unionByName, parts).select("_u", "_v", F.explode("leaks").alias("l"))
+    each = scratch.save(each.groupBy("_u", "_v").agg(F.sort_array(F.collect_list("l")).alias("leaks")), "leaks")
+    out = narrow.select(*names, *hashes).join(each, ["_u", "_v"], "left")
+    return out.select(*names, F.coalesce("leaks", F.array().cast(ArrayType(leak))).alias("leaks")).withColumnsRenamed(renamed)
+
+
+def search_block(docs: DataFrame, keys: list[str], items: Items, leak: StructType, rank: int, extra: int, least_cosine: float, copied: float, rephrased: float, seed: int) -> DataFrame:
+    """``keys`` and the ``leaks`` of one block of items in the column ``_text``, a row for each row."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    spark = docs.sparkSession
-    items = read_items(benchmark, item_key, item_text)
-    item_type, nk = benchmark.schema[item_key].dataType, len(keys)
-    leak = StructType([StructField("item", item_type), StructField("share", DoubleType()), StructField("cosine", DoubleType())])
-    out = StructType([*[StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(keys)], StructField("leaks", ArrayType(leak))])
-    if not items.ids:
-        return docs.select(*[F.col(f"`{c}`") for c in keys], F.array().cast(ArrayType(leak)).alias("leaks"))
-    df, n = document_frequencies(docs, text, spark.sparkContext.broadcast(items.terms))
+    spark, nk = docs.sparkSession, len(keys)
+    out = StructType([*[StructField(c, docs.schema[c].dataType) for c in keys], StructField("leaks", ArrayType(leak))])
+    df, n = document_frequencies(docs, "_text", spark.sparkContext.broadcast(items.terms))
     items.terms, idf = choose_terms(items, df, n)
-    z, passages = sketch(docs, text, spark.sparkContext.broadcast(items.terms), idf, rank + extra, seed)
+    z, passages = sketch(docs, "_text", spark.sparkContext.broadcast(items.terms), idf, rank + extra, seed)
     vectors, share = singular_vectors(z, passages, idf, items, rank + extra, rank, seed)
     index = spark.sparkContext.broadcast(build_index(items, idf, vectors, share))
-    kind = pa.list_(pa.struct([("item", to_arrow_type(item_type)), ("share", pa.float64()), ("cosine", pa.float64())]))
+    kind = to_arrow_type(ArrayType(leak))
     most = 6 * _BATCH_WORDS
 
     def run(batches):
@@ -485,10 +516,9 @@ def find_leaks(
                 if some:
                     found += s.search(some)
                 rows = [[{"item": i, "share": a, "cosine": c} for i, a, c in f] for f in found]
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(at, 128) for i in range(nk)], pa.array(rows, type=kind)], names=[*[f"k{i}" for i in range(nk)], "leaks"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(at, 128) for i in range(nk)], pa.array(rows, type=kind)], names=[*keys, "leaks"])
 
-    narrow = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keys)], F.col(f"`{text}`").alias("_text"))
-    return narrow.mapInArrow(run, out).withColumnsRenamed({f"k{i}": c for i, c in enumerate(keys)})
+    return docs.select(*keys, "_text").mapInArrow(run, out)
 
 
 def op3_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

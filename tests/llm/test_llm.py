@@ -264,6 +264,37 @@ def test_leaks_paraphrase_and_edges(spark, odd, empty):
     assert carried.columns == [*odd.columns, "leaks"] and carried.count() == len(ODD)
 
 
+@needs_data
+def test_leaks_planted_paraphrases_and_blocks(spark):
+    """Items with a fifth to a third of their words replaced, others inserted and dropped, planted in clean documents."""
+    sf = SF.replace("0.001", "0.01")
+    rng = np.random.default_rng(12)
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    hosts = [r["text"].split() for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r["text"] and 200 < len(r["text"].split()) < 600]
+    vocab = [w for h in hosts for w in h]
+    rows, planted = [], {}
+    for n, r in enumerate(sorted(bench.collect(), key=lambda r: r["item_id"])):
+        w = r["text"].split()
+        for i in rng.permutation(len(w))[: int(len(w) * rng.uniform(0.15, 0.33))]:
+            w[i] = vocab[rng.integers(len(vocab))]
+        for _ in range(max(1, len(w) // 12)):
+            w.insert(int(rng.integers(len(w) + 1)), vocab[rng.integers(len(vocab))])
+            del w[int(rng.integers(len(w)))]
+        item = latent_leaks.words_of(r["text"])
+        host = hosts[n % len(hosts)]
+        at = int(rng.integers(len(host) + 1))
+        rows.append((n, " ".join(host[:at] + w + host[at:])))
+        if latent_leaks.common_subsequence(item, latent_leaks.words_of(" ".join(w))) >= 0.6 * len(item):
+            planted[n] = r["item_id"]
+    df = table(spark, [t for _, t in rows] + [" ".join(h) for h in hosts])
+    whole = {(r["doc_id"], x["item"]) for r in latent_leaks.find_leaks(df, bench).collect() for x in r["leaks"]}
+    assert len(planted) > 30 and sum((n, i) in whole for n, i in planted.items()) >= 0.95 * len(planted)
+    parts = latent_leaks.find_leaks(df, bench, keys=tuple(df.columns), most_items=15)
+    assert parts.columns == [*df.columns, "leaks"] and parts.count() == df.count()
+    got = {(r["doc_id"], x["item"]) for r in parts.collect() for x in r["leaks"]}
+    assert len(got ^ whole) <= 0.05 * len(whole)
+
+
 def test_leaks_of_parts(spark):
     rng = np.random.default_rng(2)
     word = lambda lo, n: " ".join(f"q{x}" for x in rng.permutation(np.arange(lo, lo + 400))[:n])
