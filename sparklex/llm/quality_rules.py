@@ -37,30 +37,57 @@ THRESHOLDS = (
 )
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+def without(text: Column, chars: str) -> Column:
+    """``text`` without ASCII ``chars``, one plain search for each, which costs a fraction of a character-wise map."""
+    for c in chars:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
+
+
+#: Bits of a window's place beside its hash in one long; texts with more words take the windows themselves.
+_PLACE_BITS = 24
 
 
 def _repeated(words: Column, n: int = 3) -> Column:
     """Words inside windows of ``n`` words whose words stand together twice or more in the text.
 
-    Windows are sorted with their places; equal neighbours are repeats; each repeated place covers ``n`` words, or as
-    many as lie before the next repeated place.
+    Windows are hashed; where all hashes differ there is no repeat. Else hashes and places, in one long each, are
+    sorted, and equal neighbours are repeats if their words are equal; each repeated place covers ``n`` words, or as
+    many as lie before the next repeated place. A text in which two different windows share a hash, or with too many
+    words for the places, has its windows compared as strings instead, with the same result.
     """
-    windows = F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.struct(F.concat_ws(" ", F.slice(words, i, n)).alias("g"), i.alias("p"))))
-    empty = F.array().cast("array<int>")
+    size, low = F.size(words), (1 << _PLACE_BITS) - 1
+    window = lambda i: [F.get(words, i + k) for k in range(n)]
+    hashes = F.when(size >= n, F.transform(F.sequence(F.lit(0), size - n), lambda i: F.xxhash64(*window(i))))
+    place = lambda x: x.bitwiseAND(F.lit(low)).cast("int")
+    same = lambda x, y: F.coalesce(F.shiftright(x.bitwiseXOR(y), _PLACE_BITS) == 0, F.lit(False))
+    equal = lambda p, q: F.array(*window(p)) == F.array(*window(q))
+
+    def by_hash(s: Column) -> Column:
+        clash = F.exists(F.sequence(F.lit(1), F.size(s) - 1), lambda i: same(F.get(s, i), F.get(s, i - 1)) & ~equal(place(F.get(s, i)), place(F.get(s, i - 1))))
+        marked = F.transform(s, lambda x, i: F.when(same(x, F.get(s, i - 1)) | same(x, F.get(s, i + 1)), place(x)))
+        return F.when(~clash, F.sort_array(F.filter(marked, lambda p: p.isNotNull())))
 
-    def places(s: Column) -> Column:
-        same = lambda x, i, d: F.get(s, i + d)["g"] == x["g"]
-        marked = F.transform(s, lambda x, i: F.when(F.coalesce(same(x, i, -1), F.lit(False)) | F.coalesce(same(x, i, 1), F.lit(False)), x["p"]))
-        return F.sort_array(F.filter(marked, lambda p: p.isNotNull()))
+    def by_string(_: Column) -> Column:
+        windows = F.sort_array(F.transform(F.sequence(F.lit(0), size - n), lambda i: F.struct(F.concat_ws(" ", *window(i)).alias("g"), i.alias("p"))))
+
+        def places(s: Column) -> Column:
+            alike = lambda x, i, d: F.coalesce(F.get(s, i + d)["g"] == x["g"], F.lit(False))
+            return F.sort_array(F.filter(F.transform(s, lambda x, i: F.when(alike(x, i, -1) | alike(x, i, 1), x["p"])), lambda p: p.isNotNull()))
+
+        return let(windows, places)
 
     def covered(p: Column) -> Column:
         steps = F.zip_with(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), lambda b, a: F.least(b - a, F.lit(n)))
         return F.when(F.size(p) == 0, F.lit(0)).otherwise(F.aggregate(steps, F.lit(n), lambda acc, x: acc + x))
 
-    found = let(F.sort_array(windows), places)
-    return let(F.coalesce(found, empty), covered).cast("long")
+    def count(h: Column) -> Column:
+        packed = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long"))))
+        found = F.when(size <= low, let(packed, by_hash))
+        places = let(found, lambda p: F.coalesce(p, by_string(p)))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(places, covered))
+
+    return F.coalesce(let(hashes, lambda h: F.when(h.isNotNull(), count(h))), F.lit(0)).cast("long")
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -72,9 +99,8 @@ def statistics(text: Column) -> dict[str, Column]:
     text = F.coalesce(text, F.lit(""))
     return {
         "_words": F.filter(F.split(text, f"[{_SPACE}]+"), lambda w: w != ""),
-        "_lines": F.filter(F.split(text, "\n"), lambda x: _without(x, _SPACE) != ""),
-        "word_chars": F.length(_without(text, _SPACE)).cast("long"),
-        "n_symbols": (F.length(text) - F.length(_without(text, _SYMBOLS))).cast("long"),
+        "_lines": F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(_SPACE)) != ""),
+        "n_symbols": (F.length(text) - F.length(without(text, _SYMBOLS))).cast("long"),
         "_n_upper": F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}+", "")),
         "_n_letters": F.length(text) - F.length(F.regexp_replace(text, r"\p{L}+", "")),
     }
@@ -85,6 +111,7 @@ def _counts() -> dict[str, Column]:
     tail = lambda w: F.right(w, F.lit(1))
     return {
         "n_words": F.size(words).cast("long"),
+        "word_chars": F.length(F.array_join(words, "")).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_repeat_words": _repeated(words),
         "_n_lines": F.size(lines),
@@ -126,7 +153,7 @@ def quality_rules(df: DataFrame, key: str = "doc_id", text: str = "text", table=
     """``key``, every statistic of the table's namespace, ``failed_rules`` and ``passes``, a row for each row."""
     passes, names = compile_rules(table)
     out = df.select(F.col(f"`{key}`").alias("_key"), *[v.alias(k) for k, v in statistics(F.col(f"`{text}`")).items()])
-    out = out.select("_key", "word_chars", "n_symbols", "_n_upper", "_n_letters", *[v.alias(k) for k, v in _counts().items()])
+    out = out.select("_key", "n_symbols", "_n_upper", "_n_letters", *[v.alias(k) for k, v in _counts().items()])
     out = out.select("*", *[v.alias(k) for k, v in _ratios().items()])
     out = out.select("*", names.alias("failed_rules"), passes.alias("passes"))
     return out.select(F.col("_key").alias(key), *[c for c in out.columns if not c.startswith("_")])

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sparklex.llm._text import fresh, let
-from sparklex.llm.quality_rules import STOP_WORDS
+from sparklex.llm.quality_rules import STOP_WORDS, without
 from sparklex.plans.scratch import Scratch
 
 #: Labelled rows that a fit reads at most.
@@ -34,7 +34,7 @@ FEATURES = (
 def features(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and the statistics of ``FEATURES`` as doubles, a row for each row."""
     t, words, lines = F.col("_t"), F.col("_words"), F.col("_lines")
-    gone = lambda chars: (F.length(t) - F.length(F.translate(t, chars, ""))).cast("double")
+    gone = lambda chars: (F.length(t) - F.length(without(t, chars))).cast("double")
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0)).cast("double")
     tail = lambda w: F.right(w, F.lit(1))
     count = lambda f: F.size(F.filter(words, f))
@@ -42,12 +42,12 @@ def features(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     out = df.select(F.col(f"`{key}`").alias("_key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t"))
     out = out.select(
         "_key", "_t", F.filter(F.split("_t", f"[{_SPACE}]+"), lambda w: w != "").alias("_words"),
-        F.filter(F.split("_t", "\n"), lambda x: F.translate(x, _SPACE, "") != "").alias("_lines"), F.length(F.regexp_replace("_t", r"[^\p{L}]+", "")).alias("_letters"),
+        F.filter(F.split("_t", "\n"), lambda x: F.btrim(x, F.lit(_SPACE)) != "").alias("_lines"), F.length(F.regexp_replace("_t", r"[^\p{L}]+", "")).alias("_letters"),
     )
     again = let(words, lambda w: F.size(F.filter(w, lambda x, i: (i > 0) & (x == F.get(w, F.greatest(i - 1, F.lit(0)))))))
     upper = F.length(t) - F.length(F.regexp_replace(t, r"\p{Lu}+", ""))
     values = {
-        "n_words": n.cast("double"), "mean_word": ratio(F.length(F.translate(t, _SPACE, "")), n), "symbol_ratio": ratio(gone("#*$%&|<>"), chars),
+        "n_words": n.cast("double"), "mean_word": ratio(F.length(F.array_join(words, "")), n), "symbol_ratio": ratio(gone("#*$%&|<>"), chars),
         "symbol_tail_ratio": ratio(count(lambda w: tail(w).isin(*"#*$%&|<>")), n), "exclaim_ratio": ratio(gone("!?"), n), "upper_ratio": ratio(upper, F.col("_letters")),
         "digit_ratio": ratio(gone("0123456789"), chars), "pipe_ratio": ratio(gone("|"), n), "distinct_ratio": ratio(F.size(F.array_distinct(words)), n),
         "adjacent_repeat_ratio": ratio(again, n), "dup_line_ratio": ratio(F.size(lines) - F.size(F.array_distinct(lines)), F.size(lines)),

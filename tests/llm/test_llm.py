@@ -205,6 +205,28 @@ def test_rule_ensemble_edges(spark, odd, empty):
     assert rule_ensemble.keep_good(odd, labels).count() == (len(ODD) if rows[0]["score"] >= 0.5 else 0)
 
 
+def test_rule_columns_are_the_rules(spark):
+    """The compiled score against the rules applied row by row, and the statistics against their definitions."""
+    rng = np.random.default_rng(6)
+    vocab = ["the", "Cat", "a#", "x!", "é", "dog.", "|", "12", "ÄB", "und"]
+    texts = [str(rng.choice(["", " "])).join([" ".join(rng.choice(vocab, int(rng.integers(0, 40)))), "\n" * int(rng.integers(0, 3))] * int(rng.integers(1, 4))) for _ in range(150)] + ODD[:5] + ODD[6:]
+    rows = sorted(rule_ensemble.features(table(spark, texts)).collect(), key=lambda r: r["doc_id"])
+    x = np.array([[r[c] for c in rule_ensemble.FEATURES] for r in rows], dtype=np.float64)
+    for t, r in zip(texts, rows):
+        t = t or ""
+        w, lines = t.split(), [y for y in t.split("\n") if y.strip()]
+        share = lambda a, b: a / b if b else 0.0
+        assert r["n_words"] == len(w) and r["mean_word"] == pytest.approx(share(sum(map(len, w)), len(w))) and r["pipe_ratio"] == pytest.approx(share(t.count("|"), len(w)))
+        assert r["digit_ratio"] == pytest.approx(share(sum(c in "0123456789" for c in t), len(t))) and r["symbol_ratio"] == pytest.approx(share(sum(c in "#*$%&|<>" for c in t), len(t)))
+        assert r["distinct_ratio"] == pytest.approx(share(len(set(w)), len(w))) and r["adjacent_repeat_ratio"] == pytest.approx(share(sum(a == b for a, b in zip(w, w[1:])), len(w)))
+        assert r["dup_line_ratio"] == pytest.approx(share(len(lines) - len(set(lines)), len(lines))) and r["sentence_ratio"] == pytest.approx(share(sum(y[-1] in ".?!" for y in w), len(w)))
+    y = (x[:, 0] > np.median(x[:, 0])).astype(float)
+    model = rule_ensemble.fit(x, y, trees=10)
+    want = model.intercept + sum(r.weight * r.holds(x) for r in model.rules)
+    got = rule_ensemble.features(table(spark, texts)).select("doc_id", model.score().alias("s")).orderBy("doc_id").collect()
+    assert model.rules and np.allclose([r["s"] for r in got], 1 / (1 + np.exp(-want)))
+
+
 def test_lasso_is_sparse_and_right():
     rng = np.random.default_rng(0)
     x = (rng.random((4000, 30)) < 0.5).astype(np.float32)
@@ -575,6 +597,20 @@ def test_quality_rules_brute_force(spark, odd, empty):
     assert "Python" not in quality_rules.quality_rules(odd)._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.mark.parametrize("bits", [3, 24, 61])
+def test_repeated_windows_with_clashing_hashes(spark, monkeypatch, bits):
+    """Few bits for the hash make windows clash, few for the place make texts too long: the answer stays the same."""
+    monkeypatch.setattr(quality_rules, "_PLACE_BITS", bits)
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["a", "b", "cc", "d"], int(rng.integers(0, 30)))) for _ in range(80)]
+    df = table(spark, texts).select("doc_id", quality_rules.statistics(F.col("text"))["_words"].alias("w"))
+    got = {r["doc_id"]: r["n"] for r in df.select("doc_id", quality_rules._repeated(F.col("w")).alias("n")).collect()}
+    for i, text in enumerate(texts):
+        w = text.split()
+        grams = Counter(tuple(w[j : j + 3]) for j in range(len(w) - 2))
+        assert got[i] == len({j + o for j in range(len(w) - 2) if grams[tuple(w[j : j + 3])] > 1 for o in range(3)})
+
+
 # 9 byte-level BPE
 
 
