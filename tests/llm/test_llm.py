@@ -534,6 +534,21 @@ def test_preferences_brute_force(spark):
             assert [s["text"] for s in seg if s["mask"]] == [x + "<|im_end|>" for role, x in ts[k:] if role == "assistant"]
 
 
+@pytest.mark.parametrize("key", ["at", "chosen", "mid", "rejected", "t", "n_prompt_turns", "_t"])
+def test_preferences_clashing_names_and_long_conversations(spark, key):
+    rows = [("c", i, ("user", "assistant")[i % 2], f"say {i}") for i in range(4_001)] + [("d", 0, "user", "x"), ("d", 0, "user", "x")] + [(None, i, "assistant", "y") for i in range(3)]
+    df = spark.createDataFrame(rows, "k string, turn int, role string, text string").withColumnRenamed("k", key)
+    if key != "_t":
+        df = df.withColumn("_t", F.lit("clash")).withColumn("_key", F.lit("clash")).withColumn("_turns", F.lit("clash"))
+    convs = chat_preferences.conversations_of(df, key)
+    out = chat_preferences.format_preferences(chat_preferences.stale_pairs(convs.select(*convs.columns[:1], convs[convs.columns[1]].alias("_ts")), key, "_ts").toDF("_k", "a", "b", "n"), "_k", "a", "b").collect()
+    by = defaultdict(list)
+    for r in out:
+        by[r["_k"]].append(r)
+    assert len(by["c"]) == len(by["d"]) == 1 and len(by[None]) == 3 and by["c"][0]["n_prompt_turns"] == 2001 and by["d"][0]["n_prompt_turns"] == 2
+    assert [s["text"] for s in by["c"][0]["rejected_segments"] if s["mask"]][0] == "say 1999<|im_end|>" and len(by["c"][0]["chosen_segments"]) == 3999
+
+
 def test_preferences_stay_native(spark):
     df = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
     out = chat_preferences.format_preferences(chat_preferences.stale_pairs(chat_preferences.conversations_of(df)))
