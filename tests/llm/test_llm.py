@@ -365,6 +365,50 @@ def test_ordinal_model_orders_grades():
     assert np.isclose(m.probabilities(0.3).sum(), 1)
 
 
+def test_ordinal_gradient_and_probabilities():
+    """The fit stands where the penalised likelihood is flat, by finite differences of a plain version."""
+    rng = np.random.default_rng(1)
+    grades = rng.integers(0, 3, 60)
+    rows = [(sorted(rng.choice(4, 2, replace=False).tolist()), rng.normal(size=2).round(2).tolist()) for _ in grades]
+    m = toxicity.fit(list("abcd"), rows, grades, 3, penalty=0.05, steps=4000)
+
+    def loss(weights, cuts):
+        total = 0.05 / 2 * float(np.sum(weights**2))
+        for (cs, vs), g in zip(rows, grades):
+            x = sum(weights[c] * v for c, v in zip(cs, vs))
+            at_most = [0.0] + [1 / (1 + np.exp(-(c - x))) for c in cuts] + [1.0]
+            total -= np.log(at_most[g + 1] - at_most[g]) / len(rows)
+        return total
+
+    best = loss(m.weights, m.thresholds)
+    for step in (1e-2, -1e-2):
+        for j in range(4):
+            assert loss(m.weights + step * (np.arange(4) == j), m.thresholds) > best - 1e-6
+        for j in range(2):
+            assert loss(m.weights, m.thresholds + step * (np.arange(2) == j)) > best - 1e-6
+    x = float(m.weights[rows[0][0]] @ np.array(rows[0][1]))
+    at_most = 1 / (1 + np.exp(-(m.thresholds - x)))
+    assert m.probabilities(x) == pytest.approx([at_most[0], at_most[1] - at_most[0], 1 - at_most[1]])
+
+
+def test_toxicity_scores_brute_force(spark):
+    """The query's severity against counting features and adding weights text by text."""
+    rng = np.random.default_rng(3)
+    clean, bad = ["the", "garden", "station", "weather", "nicely"], ["blockhead", "dimwitted", "scoundrel"]
+    texts = [" ".join(rng.choice(clean, 30).tolist() + (rng.choice(bad, 1 + i % 7).tolist() if i % 2 else [])) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id bigint, toxic int")
+    df = table(spark, texts + [None, "", "Blockhead! dimwitted... SCOUNDREL"])
+    model = toxicity.train(df, labels)
+    got = {r["doc_id"]: r for r in toxicity.score_severity(df, model).collect()}
+    for i, text in enumerate(texts + [None, "", "Blockhead! dimwitted... SCOUNDREL"]):
+        counts = Counter(f for w in re.findall(r"[a-z]+", (text or "").lower()) for f in [f"={w}"] + [f"^{w[:n]}" for n in (5, 6, 7, 8) if len(w) >= n])
+        x = sum(w * np.log1p(counts[f]) for f, w in zip(model.names, model.weights) if counts[f])
+        at_most = 1 / (1 + np.exp(-np.clip(model.thresholds - x, -40, 40)))
+        p = np.diff(np.concatenate([[0.0], at_most, [1.0]]))
+        assert got[i]["expected_severity"] == pytest.approx(p @ np.arange(4)) and got[i]["p_toxic"] == pytest.approx(1 - p[0]) and got[i]["grade"] == int(np.argmax(p))
+    assert got[202]["p_toxic"] > 0.9 and got[201]["p_toxic"] < 0.5
+
+
 def test_toxicity_edges(spark, odd, empty):
     labels = spark.createDataFrame([(0, None), (3, 0), (None, 1)], "doc_id bigint, toxic int")
     model = toxicity.train(odd, labels)
