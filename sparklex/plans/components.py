@@ -15,8 +15,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     the number of rounds is logarithmic in the longest chain. Nothing is collected: the driver sees row counts only.
     Null ends and loops in the input are ignored; an empty input gives an empty table.
     """
-    spark = edges.sparkSession
-    scratch = Scratch(spark, "components")
+    scratch = Scratch(edges.sparkSession, "components")
     e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
     live = scratch.save(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = None

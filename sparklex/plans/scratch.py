@@ -7,12 +7,37 @@ back, where ``DataFrame.checkpoint`` would compute an uncached plan twice.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
+#: The folders that the calls inside each open ``tidy`` block have made.
+_OPEN: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Deletes, when the block ends well, every scratch table that was begun inside it. What a caller still wants to
+    read must have been written elsewhere, or by a ``Scratch`` from before the block."""
+    _OPEN.append([])
+    try:
+        yield
+    except BaseException:
+        _OPEN.pop()
+        raise
+    for base in _OPEN.pop():
+        _delete(spark, base)
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -27,6 +52,7 @@ def scratch_root(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_ROOTS:
         _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="sparklex-")
+        atexit.register(shutil.rmtree, _LOCAL_ROOTS[app], ignore_errors=True)
     return _LOCAL_ROOTS[app]
 
 
@@ -37,6 +63,8 @@ class Scratch:
         self.spark = spark
         self.base = f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
         self._n = 0
+        for made in _OPEN:
+            made.append(self.base)
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write ``df`` once and return the written table."""
@@ -51,6 +79,4 @@ class Scratch:
         """Delete a table that no plan will read again."""
         path = getattr(df, "_scratch_path", None)
         if path:
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(self.spark, path)
