@@ -3,8 +3,8 @@
 Each stage calls one operator of ``sparklex.llm`` on all that the stage before it kept:
 
 1. ``quality``: documents that the rule ensemble scores below 0.5 go;
-2. ``near_duplicates``: of each component of texts whose five-word shingles have a Jaccard similarity of 0.8 at least the
-   document with the smallest id stays;
+2. ``near_duplicates``: SimHash links over five-word shingles, completed to all pairs of a Jaccard similarity of 0.8 at
+   least; of each component the document with the smallest id stays;
 3. ``decontamination``: documents that hold a benchmark item go;
 4. ``secrets``: every secret is replaced by its kind in brackets and ``n_chars`` is counted anew;
 5. ``tokens``: per document the packed token ids, their number and the digests of the ids and of the decoded bytes.
@@ -17,8 +17,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparklex.llm import byte_bpe, latent_leaks, near_copies, rule_ensemble, secrets
-from sparklex.plans.scratch import Scratch
+from sparklex.llm import byte_bpe, latent_leaks, rule_ensemble, secrets, simhash
+from sparklex.plans.scratch import Scratch, tidy
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.keep_one(docs)
+    return simhash.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +48,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over ``documents``; what lies between two stages is a written table."""
-    scratch = Scratch(spark, "pipeline")
+    """The stages in order over ``documents``; what lies between two stages is a written table, of which the last one
+    stays for the result to read."""
+    scratch, done = Scratch(spark, "pipeline"), None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        with tidy(spark):
+            docs = scratch.save(stage(spark, docs, sf_dir), name)
+        scratch.drop(done)
+        done = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -27,7 +27,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from sparklex.llm._text import fresh, map_rows
 from sparklex.llm.simhash import close_pairs
 from sparklex.plans.components import connected_components
-from sparklex.plans.scratch import Scratch
+from sparklex.plans.scratch import Scratch, tidy
 from sparklex.plans.skew import join_counted
 
 #: Documents of the sample, the frequent shingles taken from it at most, and the count that makes one frequent.
@@ -157,15 +157,9 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **settings)
     Rows are removed by an anti-join on the keys and hashes that go: a shuffled hash join at every size, since those
     grow with the input and must not be broadcast.
     """
-    scratch = Scratch(df.sparkSession, "copies")
-    docs = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("u"))
-    roots = connected_components(close_texts(docs.select("u", "text"), **settings)).select(F.col("node").alias("u"), "root")
-    each = docs.where("k is not null").select("k", "u")
-    texts = each.groupBy("u").agg(F.min("k").alias("least"), F.count("*").alias("c")).join(roots, "u", "left").where("c > 1 or root is not null")
-    texts = scratch.save(texts.select("u", "least", "c", F.coalesce("root", "u").alias("root")), "texts")
-    heads = texts.groupBy("root").agg(F.min(F.struct("least", "u")).alias("head")).select("root", F.col("head.least").alias("hk"), F.col("head.u").alias("hu"))
-    headed = scratch.save(texts.join(heads, "root").select("u", "c", "hk", "hu"), "heads")
-    rows = scratch.save(join_counted(each, headed, ["u"], "c", docs.count()).groupBy("k", "u", "hk", "hu").count(), "rows")
+    scratch = Scratch(df.sparkSession, "kept")
+    with tidy(df.sparkSession):
+        rows = scratch.save(_heads(df, key, text, settings), "rows")
     stays = (F.col("k") == F.col("hk")) & (F.col("u") == F.col("hu"))
     gk, gu, hashed = fresh(df, "_gone"), fresh(df, "_gone_text"), fresh(df, "_hash")
     named = lambda t: t.select(F.col("k").alias(gk), F.col("u").alias(gu))
@@ -175,3 +169,16 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **settings)
     if not twice.isEmpty():
         out = out.join(twice, on, "left_anti").unionByName(out.join(twice, on, "left_semi").dropDuplicates([key, hashed]))
     return out.drop(hashed)
+
+
+def _heads(df: DataFrame, key: str, text: str, settings: dict) -> DataFrame:
+    """``k``, ``u`` and ``count`` of every key and text that is a copy or has one, with the ``hk`` and ``hu`` that stay."""
+    scratch = Scratch(df.sparkSession, "copies")
+    docs = df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("u"))
+    roots = connected_components(close_texts(docs.select("u", "text"), **settings)).select(F.col("node").alias("u"), "root")
+    each = docs.where("k is not null").select("k", "u")
+    texts = each.groupBy("u").agg(F.min("k").alias("least"), F.count("*").alias("c")).join(roots, "u", "left").where("c > 1 or root is not null")
+    texts = scratch.save(texts.select("u", "least", "c", F.coalesce("root", "u").alias("root")), "texts")
+    heads = texts.groupBy("root").agg(F.min(F.struct("least", "u")).alias("head")).select("root", F.col("head.least").alias("hk"), F.col("head.u").alias("hu"))
+    headed = scratch.save(texts.join(heads, "root").select("u", "c", "hk", "hu"), "heads")
+    return join_counted(each, headed, ["u"], "c", docs.count()).groupBy("k", "u", "hk", "hu").count()

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from sparklex.llm._text import map_rows
-from sparklex.plans.scratch import Scratch
+from sparklex.plans.scratch import Scratch, tidy
 
 #: The key of the registered query; callers of ``pseudonymise`` bring their own.
 QUERY_KEY = b"sparklex surrogate key"
@@ -433,15 +433,17 @@ REWRITTEN = StructType([StructField("text", StringType()), StructField("entities
 def pseudonymise(df: DataFrame, secret: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``text`` with every entity replaced, and ``entities`` (kind, its span in the old text, the surrogate)."""
     scratch = Scratch(df.sparkSession, "surrogates")
-    held = scratch.save(entities(df, text), "mentions")
-    each = held.select("u", F.explode("e").alias("e")).select("u", "e.kind", "e.value", "e.gender")
-    other = scratch.save(redraws(each.select("kind", "value", "gender").distinct(), secret), "redrawn")
+    with tidy(df.sparkSession):
+        held = Scratch(df.sparkSession, "mentions").save(entities(df, text))
+        each = held.select("u", F.explode("e").alias("e")).select("u", "e.kind", "e.value", "e.gender")
+        other = scratch.save(redraws(each.select("kind", "value", "gender").distinct(), secret), "redrawn")
+        some = each.select("u", "kind", "value").distinct().join(other, ["kind", "value"])
+        some = scratch.save(some.groupBy("u").agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias("o")), "exceptions")
     docs = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"), F.xxhash64(f"`{text}`").alias("u"))
     if other.isEmpty():
         docs = docs.withColumn("o", F.lit(None).cast("array<struct<kind:string,value:string,surrogate:string>>"))
     else:
-        some = each.select("u", "kind", "value").distinct().join(other, ["kind", "value"])
-        docs = docs.join(scratch.save(some.groupBy("u").agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias("o")), "exceptions"), "u", "left")
+        docs = docs.join(some, "u", "left")
 
     def make():
         cache: dict = {}

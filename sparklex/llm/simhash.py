@@ -25,7 +25,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from sparklex.llm._text import map_rows
 from sparklex.plans.components import connected_components
-from sparklex.plans.scratch import Scratch
+from sparklex.plans.scratch import Scratch, tidy
 from sparklex.plans.skew import join_counted
 
 _BLOCK = 1 << 14
@@ -100,12 +100,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     scratch = Scratch(df.sparkSession, "simhash")
     each = scratch.save(fingerprints(df, key, text, shingle, seed).withColumnRenamed(key, "_key"), "fingerprints")
     fps = scratch.save(each.groupBy("fp").agg(F.min("_key").alias("least"), F.count("*").alias("n")), "distinct")
-    links = close_pairs(fps.select("fp"), distance, blocks, hot_block, scratch)
-    roots = connected_components(links).select(F.col("node").alias("fp"), "root")
-    classes = fps.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
-    classes = scratch.save(classes, "classes")
-    heads = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = scratch.save(classes.join(heads, "root").select("fp", "n", "component_id"), "heads")
+    with tidy(df.sparkSession):
+        links = close_pairs(fps.select("fp"), distance, blocks, hot_block)
+        roots = connected_components(links).select(F.col("node").alias("fp"), "root")
+        classes = fps.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+        classes = Scratch(df.sparkSession, "simhash").save(classes, "classes")
+        heads = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+        classes = scratch.save(classes.join(heads, "root").select("fp", "n", "component_id"), "heads")
+    scratch.drop(fps)
     total = classes.agg(F.sum("n")).first()[0] or 0
     return join_counted(each, classes, ["fp"], "n", total).select(F.col("_key").alias(key), "fp", "component_id")
 
