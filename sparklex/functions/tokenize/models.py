@@ -221,6 +221,8 @@ def byte_alphabet() -> dict[int, str]:
 class BpeOptions:
     byte_level: bool = False
     prefix_space: bool = False
+    #: How many of the splits come before the step that puts a space in front of each piece.
+    prefix_after: int = field(default=0, kw_only=True)
     ignore_merges: bool = False
     fuse_unk: bool = False
     end_of_word: str = ""
@@ -313,23 +315,24 @@ class Bpe:
             return [piece], [self.vocab[piece]]
         symbols = [(o.continuing if i else "") + c + (o.end_of_word if i == len(piece) - 1 else "") for i, c in enumerate(piece)]
         parts: list[str] = []
+        unknown = False  # whether the symbol before was substituted; a covered one may be spelt like the substitute
         for s in symbols:
             if s in self.vocab:
                 parts.append(s)
-            elif o.unk is not None and not (o.fuse_unk and parts and parts[-1] == o.unk):
+            elif o.unk is not None and not (o.fuse_unk and unknown):
                 parts.append(o.unk)
+            unknown = s not in self.vocab
         got = self._merge(parts)
         return got, [self.vocab[t] for t in got]
 
     def pieces(self, text: str, first: bool = True) -> list[str]:
         o = self.options
-        if o.prefix_space and text and not text.startswith(" ") and not o.splits[:-1]:
-            text = " " + text
         out = [text] if text else []
-        for i, (pattern, behavior, invert) in enumerate(o.splits):
-            if i and i == len(o.splits) - 1 and o.prefix_space:
+        for i in range(len(o.splits) + 1):
+            if i == o.prefix_after and o.prefix_space:
                 out = [p if p.startswith(" ") else " " + p for p in out]
-            out = [q for p in out for q in split_text(p, pattern, behavior, invert) if q]
+            if i < len(o.splits):
+                out = [q for p in out for q in split_text(p, *o.splits[i]) if q]
         return out
 
     def encode(self, text: str) -> Encoded:

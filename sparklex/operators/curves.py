@@ -26,18 +26,25 @@ def by_score(df: DataFrame, y_true: str, score: str, pos_label=1, weight: str |
 
 
 def running(points: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """``points`` with ``tp`` and ``fp``: sums over all scores at least as high."""
+    """``points`` with ``tp`` and ``fp``, sums over all scores at least as high, and ``next_pos`` and ``next_neg``, the
+    weights at the next lower score (null at the last)."""
     if by:
-        w = Window.partitionBy(*by).orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
-        return points.select("*", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"))
+        o = Window.partitionBy(*by).orderBy(F.col("s").desc())
+        w = o.rowsBetween(Window.unboundedPreceding, 0)
+        return points.select("*", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"), F.lead("pos").over(o).alias("next_pos"), F.lead("neg").over(o).alias("next_neg"))
     scratch = Scratch(points.sparkSession, "curve")
     parts = scratch.save(points.repartitionByRange(F.col("s").desc()).withColumn("part", F.spark_partition_id()), "ranged")
-    totals = parts.groupBy("part").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b"))
-    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("part", F.coalesce(F.sum("a").over(before), F.lit(0.0)).alias("a"), F.coalesce(F.sum("b").over(before), F.lit(0.0)).alias("b"))  # one row a partition
-    w = Window.partitionBy("part").orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    totals = parts.groupBy("part").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b"), F.max_by(F.struct("pos", "neg"), "s").alias("first"))
+    order = Window.partitionBy(F.lit(0)).orderBy("part")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        "part", F.coalesce(F.sum("a").over(before), F.lit(0.0)).alias("a"), F.coalesce(F.sum("b").over(before), F.lit(0.0)).alias("b"), F.lead("first").over(order).alias("follows"),
+    )  # one row a partition
+    o = Window.partitionBy("part").orderBy(F.col("s").desc())
+    w = o.rowsBetween(Window.unboundedPreceding, 0)
     out = parts.join(F.broadcast(offsets), "part")
-    return out.select("s", "pos", "neg", (F.sum("pos").over(w) + F.col("a")).alias("tp"), (F.sum("neg").over(w) + F.col("b")).alias("fp"))
+    follows = lambda c: F.coalesce(F.lead(c).over(o), F.col(f"follows.{c}")).alias(f"next_{c}")
+    return out.select("s", "pos", "neg", (F.sum("pos").over(w) + F.col("a")).alias("tp"), (F.sum("neg").over(w) + F.col("b")).alias("fp"), follows("pos"), follows("neg"))
 
 
 def _totals(points: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -61,26 +68,19 @@ def average_precision(df: DataFrame, y_true: str, score: str, pos_label=1, weigh
     return s.select(*by, F.when(F.col("_pos") == 0, 0.0).otherwise(F.col("_area") / F.col("_pos")).alias("value"))
 
 
-def _kept(points: DataFrame, rule: str, by: Sequence[str]) -> DataFrame:
-    """Points that bend the curve; ``rule`` is ``roc`` (second differences) or ``tp`` (true positives change)."""
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.col("s").desc())
-    n = lambda c, d: F.lag(c, d).over(w)
-    if rule == "roc":
-        bend = lambda c: n(c, 1) + n(c, -1) != 2 * F.col(c)
-        keep = n("tp", 1).isNull() | n("tp", -1).isNull() | bend("tp") | bend("fp")
-    else:
-        keep = n("tp", 1).isNull() | n("tp", -1).isNull() | (n("tp", 1) != F.col("tp")) | (n("tp", -1) != F.col("tp"))
-    return points.withColumn("_k", keep).where("_k").drop("_k")
+def _kept(points: DataFrame, rule: str) -> DataFrame:
+    """Points that bend the curve; ``rule`` is ``roc`` (one step differs from the next) or ``tp`` (true positives change).
+    The steps are weights at a score and the next, so that no task needs to hold a curve."""
+    ends = F.col("next_pos").isNull() | ((F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg")))
+    bends = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg")) if rule == "roc" else (F.col("pos") != 0) | (F.col("next_pos") != 0)
+    return points.where(ends | bends)
 
 
 def roc_curve(df: DataFrame, y_true: str, score: str, pos_label=1, weight: str | None = None, drop_intermediate: bool = True, by: Sequence[str] = ()) -> DataFrame:
-    """``threshold``, ``fpr``, ``tpr`` from the infinite threshold on; the rate of an absent class is NaN.
-
-    Dropping intermediate points runs a window over the curve's distinct scores.
-    """
+    """``threshold``, ``fpr``, ``tpr`` from the infinite threshold on; the rate of an absent class is NaN."""
     p = running(by_score(df, y_true, score, pos_label, weight, by), by)
     if drop_intermediate:
-        p = _kept(p, "roc", by)
+        p = _kept(p, "roc")
     p = p.select(*by, "s", "tp", "fp")
     top = (p.select(*by).distinct() if by else p.sparkSession.range(1).select()).select(*by, F.lit(float("inf")).alias("s"), F.lit(0.0).alias("tp"), F.lit(0.0).alias("fp"))
     t = grouped(p, by).agg(F.max("tp").alias("P"), F.max("fp").alias("N"))
@@ -94,7 +94,7 @@ def precision_recall_curve(df: DataFrame, y_true: str, score: str, pos_label=1,
     """``threshold``, ``precision``, ``recall``; the closing point (1, 0) has no threshold. Recall is 1 without positives."""
     p = running(by_score(df, y_true, score, pos_label, weight, by), by)
     if drop_intermediate:
-        p = _kept(p, "tp", by)
+        p = _kept(p, "tp")
     t = grouped(p, by).agg(F.max("tp").alias("P"))
     q = p.join(t, list(by)) if by else p.crossJoin(F.broadcast(t))  # one row
     q = q.select(*by, F.col("s").alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.when(F.col("P") == 0, 1.0).otherwise(F.col("tp") / F.col("P")).alias("recall"))
@@ -107,7 +107,7 @@ def det_curve(df: DataFrame, y_true: str, score: str, pos_label=1, weight: str |
     and what follows the first point of all true positives."""
     p = running(by_score(df, y_true, score, pos_label, weight))
     if drop_intermediate:
-        p = _kept(p, "tp", ())
+        p = _kept(p, "tp")
     p = p.select("s", "tp", "fp").unionByName(p.sparkSession.range(1).select(F.lit(float("inf")).alias("s"), F.lit(0.0).alias("tp"), F.lit(0.0).alias("fp")))
     t = p.agg(F.max("tp").alias("P"), F.max("fp").alias("N"))
     q = p.crossJoin(F.broadcast(t))  # one row
@@ -117,9 +117,15 @@ def det_curve(df: DataFrame, y_true: str, score: str, pos_label=1, weight: str |
 
 
 def auc_trapezoid(df: DataFrame, x: str, y: str, order: str) -> DataFrame:
-    """The area under points in the order of ``order``; x must be monotone. The points are one curve, in one window."""
-    w = Window.partitionBy(F.lit(0)).orderBy(order)
-    d = df.select(F.col(order), (F.col(x) - F.lag(x).over(w)).alias("dx"), ((F.col(y) + F.lag(y).over(w)) / 2).alias("m"))
+    """The area under points in the order of ``order``; x must be monotone. Points are partitioned by ranges of it, and
+    the first of each range takes the last of the range before from a row a partition."""
+    points = df.select(F.col(order).alias("o"), F.col(x).alias("x"), F.col(y).alias("y")).repartitionByRange("o").withColumn("part", F.spark_partition_id())
+    points = Scratch(df.sparkSession, "area").save(points, "ranged")
+    last = points.groupBy("part").agg(F.max_by(F.struct("x", "y"), "o").alias("end"))
+    last = last.select("part", F.lag("end").over(Window.partitionBy(F.lit(0)).orderBy("part")).alias("end"))  # one row a partition
+    w = Window.partitionBy("part").orderBy("o")
+    before = lambda c: F.coalesce(F.lag(c).over(w), F.col(f"end.{c}"))
+    d = points.join(F.broadcast(last), "part").select((F.col("x") - before("x")).alias("dx"), ((F.col("y") + before("y")) / 2).alias("m"))
     s = d.agg(F.sum(F.col("dx") * F.col("m")).alias("a"), F.min("dx").alias("lo"), F.max("dx").alias("hi"), F.count("*").alias("n"))
     bad = F.raise_error(F.lit("the area needs two points and a monotone x")).cast("double")
     return s.select(F.when((F.col("n") < 2) | ((F.col("lo") < 0) & (F.col("hi") > 0)), bad).when(F.col("hi") <= 0, -F.col("a")).otherwise(F.col("a")).alias("value"))

@@ -169,7 +169,7 @@ def _bpe(doc: dict, model: dict, limits: Limits) -> M.Bpe:
     for n in _steps(doc.get("normalizer")):
         _need(n["type"] in ("NFC", "NFD", "NFKC", "NFKD"), f"normalizer {n['type']} is not supported")
         forms.append(n["type"])
-    splits, byte_level, prefix = [], False, False
+    splits, byte_level, prefix, after = [], False, False, 0
     pre = _steps(doc.get("pre_tokenizer"))
     kinds = [p["type"] for p in pre]
     _need(kinds in ([], ["Whitespace"], ["ByteLevel"], ["Split", "ByteLevel"]), f"pre-tokenizers {kinds} are not supported")
@@ -183,7 +183,7 @@ def _bpe(doc: dict, model: dict, limits: Limits) -> M.Bpe:
             splits.append((text, _BEHAVIORS[p["behavior"]], bool(p["invert"])))
         else:
             _need("add_prefix_space" in p, "ByteLevel needs add_prefix_space")
-            byte_level, prefix = True, bool(p["add_prefix_space"])
+            byte_level, prefix, after = True, bool(p["add_prefix_space"]), len(splits)
             if p.get("use_regex", True):
                 splits.append((M.PATTERNS["gpt2"], "isolated", False))
     decoder = doc.get("decoder")
@@ -192,7 +192,7 @@ def _bpe(doc: dict, model: dict, limits: Limits) -> M.Bpe:
     _need(not (byte_level and continuing), "a byte-level model has no continuing prefix")
     merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
     _need(all(len(m) == 2 for m in merges), "a merge is no pair")
-    options = M.BpeOptions(byte_level, prefix, bool(model.get("ignore_merges")), bool(model.get("fuse_unk")), model.get("end_of_word_suffix") or "", continuing, model.get("unk_token"), tuple(splits), tuple(forms), _added(doc))
+    options = M.BpeOptions(byte_level, prefix, bool(model.get("ignore_merges")), bool(model.get("fuse_unk")), model.get("end_of_word_suffix") or "", continuing, model.get("unk_token"), tuple(splits), tuple(forms), _added(doc), prefix_after=after)
     return M.Bpe(_check_vocab(model["vocab"], limits), merges, options)
 
 

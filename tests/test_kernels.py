@@ -218,3 +218,17 @@ def test_undefined_policies(spark):
     with pytest.raises(Exception, match="finite"):
         R.mse(df.withColumn("s", F.lit(float("inf"))), "t", "s").collect()
     assert "accuracy" in C.report_text(C.report(C.confusion(df, "t", "p")))
+
+
+def test_bpe_prefix_space_goes_to_every_piece_behind_a_split():
+    vocab = {c: i for i, c in enumerate("abcd|\u0120")}
+    split = ("\\|", "isolated", False)
+    model = lambda after: M.Bpe(vocab, [], M.BpeOptions(byte_level=True, prefix_space=True, splits=(split,), prefix_after=after))
+    assert model(1).encode("ab|cd")[0] == list("\u0120ab\u0120|\u0120cd")
+    assert model(0).encode("ab|cd")[0] == list("\u0120ab|cd") and model(1).encode(" ab")[0] == list("\u0120ab") and model(1).encode("")[0] == []
+
+
+def test_bpe_fuses_substitutes_only():
+    vocab = {"q": 0, "a": 1}
+    model = M.Bpe(vocab, [], M.BpeOptions(fuse_unk=True, unk="q"))
+    assert [model.encode(t)[0] for t in ("qZ", "ZZ", "Zq", "ZaZZ", "qZZq")] == [["q", "q"], ["q"], ["q", "q"], ["q", "a", "q"], ["q", "q", "q"]]
