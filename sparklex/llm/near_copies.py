@@ -34,6 +34,8 @@ from sparklex.plans.skew import join_counted
 SAMPLE, MAX_FREQUENT, FREQUENT = 20_000, 100_000, 4
 #: Pivots of a hot group.
 PIVOTS = 4
+#: Shared shingles of a text that tell where a pair is made.
+FIRST = 16
 _PARITY = [f"m{i}" for i in range(4)]
 _SET = StructType([StructField("s", ArrayType(LongType()))])
 _SIGNATURE = StructType([*[StructField(c, LongType()) for c in ("n", "fp", *_PARITY)], StructField("prefix", ArrayType(LongType()))])
@@ -146,8 +148,13 @@ def close_texts(docs: DataFrame, percent: int = 80, shingle: int = 5, seed: int
     open_ = warm.select("t", "u").join(roots, "u", "left").select("t", "u", F.coalesce("root", "u").alias("r"))
     several = open_.groupBy("t").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi").select("t")
     open_ = scratch.save(open_.join(several, "t", "left_semi").join(info.drop("r"), "u"), "open")
-    x, y = side(open_, "a", "t", "r"), side(open_, "b", "t", "r")
-    rest = x.join(y, (x["at"] == y["bt"]) & (x["a"] < y["b"]) & (x["ar"] != y["br"]) & alike("a", "b")).select("a", "b").distinct()
+    # a pair that shares many shingles is made at the least of them, or at few: none beyond the least one that is among
+    # the ``FIRST`` least of both texts
+    firsts = open_.groupBy("u").agg(F.slice(F.sort_array(F.collect_set("t")), 1, FIRST).alias("f"))
+    open_ = scratch.save(open_.join(firsts, "u"), "firsts")
+    x, y = side(open_, "a", "t", "r", "f"), side(open_, "b", "t", "r", "f")
+    least = F.coalesce(F.col("at") <= F.array_min(F.array_intersect("af", "bf")), F.lit(True))
+    rest = x.join(y, (x["at"] == y["bt"]) & (x["a"] < y["b"]) & (x["ar"] != y["br"]) & alike("a", "b") & least).select("a", "b").distinct()
     return links.unionByName(verified(rest))
 
 
