@@ -840,6 +840,22 @@ def test_pipeline_stages(spark):
     assert [n for n, _ in C.STAGES] == ["quality", "near_duplicates", "decontamination", "secrets", "tokens"]
 
 
+def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
+    """Null ids and texts, empty and very long texts, repeated rows and clashing columns pass all five stages."""
+    import corpus_pipeline as C
+
+    for name, rows in (("odd", table(spark, ODD, ODD_IDS)), ("none", table(spark, []))):
+        sf = f"{tmp_path}/{name}"
+        rows.write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([(0, 1), (None, 0)], "doc_id bigint, quality int").write.parquet(f"{sf}/labels.parquet")
+        spark.createDataFrame([(1, None), (None, "an item that no document holds at all")], "item_id bigint, text string").write.parquet(f"{sf}/benchmark.parquet")
+        out = C.run(spark, sf).collect()
+        # one labelled class: the smoothed share is above a half and every document passes the first stage
+        want = [0, 3, 4, 5, 6, None] if name == "odd" else []
+        assert Counter(r["doc_id"] for r in out) == Counter(want)
+        assert all(r["decoded_sha256"] == hashlib.sha256((dict(zip(ODD_IDS, ODD))[r["doc_id"]] or "").encode()).hexdigest() for r in out)
+
+
 def test_registry_has_all_ten():
     from sparklex.llm import registry
 
