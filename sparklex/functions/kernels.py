@@ -165,10 +165,6 @@ def ratcliff(a: Sequence, b: Sequence) -> float:
     return 2 * matched / (len(a) + len(b))
 
 
-def similarity(distance: int, longest: int) -> float:
-    return 1.0 if longest == 0 else 1 - distance / longest
-
-
 def utf16(s: str) -> tuple[int, ...]:
     """UTF-16 code units, for results in that unit."""
     raw = s.encode("utf-16-le", "surrogatepass")

@@ -206,9 +206,3 @@ def load_vectorizer(spark, path: str) -> tuple[DataFrame, dict]:
     if set(doc) != {"format", "version", "options"} or doc["format"] != "sparklex/vectorizer" or doc["version"] != 1:
         raise ValueError(f"{path} is no vectorizer of this version")
     return spark.read.parquet(f"{path}/vocabulary"), doc["options"]
-
-
-def require_columns(rows: DataFrame, names: Sequence[str]) -> None:
-    missing = set(names) - set(rows.columns)
-    if missing:
-        raise ValueError(f"missing columns: {sorted(missing)}")

@@ -1,18 +1,20 @@
 """Dense vectors: dot products, norms, pooling and exact nearest neighbours.
 
-Search is exhaustive. Queries are a bounded set: they are collected in blocks of ``QUERY_BLOCK`` and broadcast, and
-every task multiplies its vectors with a block as one matrix product and keeps its best ``k`` of each query, so what is
+Search is exhaustive. Queries come to the driver in order, a partition at a time, and are broadcast in blocks of
+``QUERY_BLOCK``; every task multiplies its vectors with a block as one matrix product and keeps its best ``k`` of each query, so what is
 shuffled is k rows a query and Arrow batch, never all pairs.
 """
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: Queries broadcast at once, and queries a call takes at most.
-QUERY_BLOCK, MAX_QUERIES = 4_096, 1_000_000
+#: Queries broadcast at once.
+QUERY_BLOCK = 4_096
 
 
 def _col(x) -> Column:
@@ -54,16 +56,13 @@ def nearest(index: DataFrame, queries: DataFrame, k: int, key: str, vector: str,
     if k < 1:
         raise ValueError("k must be at least 1")
     query_key, query_vector = query_key or key, query_vector or vector
-    rows = queries.select(F.col(query_key).alias("q"), F.col(query_vector).alias("v")).where("v is not null").orderBy("q").limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"over {MAX_QUERIES} queries; search for them in several calls")
+    rows = queries.select(F.col(query_key).alias("q"), F.col(query_vector).alias("v")).where("v is not null").orderBy("q").toLocalIterator()
     key_type = index.schema[key].dataType
     query_type = queries.schema[query_key].dataType
     source = index.select(F.col(key).alias("k"), F.col(vector).alias("v")).where("v is not null")
     schema = f"query {query_type.simpleString()}, k {key_type.simpleString()}, score double"
     parts = []
-    for at in range(0, len(rows), QUERY_BLOCK):
-        block = rows[at : at + QUERY_BLOCK]
+    while block := list(islice(rows, QUERY_BLOCK)):
         shared = index.sparkSession.sparkContext.broadcast(([r["q"] for r in block], _matrix([r["v"] for r in block], normalize)))
         parts.append(source.mapInArrow(_search(shared, k, normalize, (query_type, key_type)), schema))
     if not parts:

@@ -11,8 +11,6 @@ from sparklex.plans import registry
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
-#: Many variants of one operator share a code path; the others run in the correctness check of the driver.
-HEAVY = {"extract_top5", "char_ngrams_3", "fuzz_partial_token_set_ratio"}
 
 
 @pytest.fixture(scope="module")
