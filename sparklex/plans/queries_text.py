@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sparklex.functions import phonetics as P, setsim as S, strings as T
 from sparklex.operators import vectorize as V
+from sparklex.plans import sql_text as Q
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -73,10 +74,20 @@ _pair("indel_normalized_similarity", lambda a, b: T.normalized_similarity(T.inde
 _pair("lcs_subsequence", T.lcs_subsequence, _lcs("a", "b"), None)
 _pair("lcs_substring", T.lcs_substring, "list_max([len(s) FOR s IN list_distinct(flatten([[a[i:j] FOR j IN range(i, length(a) + 1)] FOR i IN range(1, length(a) + 1)])) IF contains(b, s)])", None)
 _pair("ratcliff_obershelp", T.ratcliff_obershelp, None)
+ORACLES["ratcliff_obershelp"] = f"SELECT p_partkey, a, b, round((2 * matched / (length(a) + length(b)))::DOUBLE, 6) AS value FROM ({_N}) JOIN ({Q.ratcliff(_N)}) USING (p_partkey)"
 for _s in ("ratio", "partial_ratio", "token_sort_ratio", "token_set_ratio", "partial_token_sort_ratio", "partial_token_set_ratio", "weighted_ratio"):
     _pair(f"fuzz_{_s}", lambda a, b, s=_s: T.fuzz(s, a, b), None)
     if _s in _FUZZ:
         ORACLES[f"fuzz_{_s}"] = f"SELECT p_partkey, a, b, round(({_FUZZ[_s]})::DOUBLE, 6) AS value FROM ({_SETS3})"
+_WHOLE, _SORT = f"SELECT p_partkey, 'w' AS k, a AS x, b AS y FROM ({_N})", f"SELECT p_partkey, 's' AS k, sa AS x, sb AS y FROM ({_TOKENS})"
+_SET = " UNION ALL ".join(f"SELECT p_partkey, '{k}' AS k, {x} AS x, {y} AS y FROM ({_SETS3})" for k, x, y in (("l", "si", "ca"), ("r", "si", "cb"), ("b", "ca", "cb")))
+_BEST = "SELECT p_partkey, max(score) AS {n} FROM ({q}) GROUP BY p_partkey"
+for _s, _q in (("partial_ratio", _WHOLE), ("partial_token_sort_ratio", _SORT), ("partial_token_set_ratio", _SET)):
+    ORACLES[f"fuzz_{_s}"] = f"SELECT p_partkey, a, b, round(v, 6) AS value FROM ({_N}) JOIN ({_BEST.format(n='v', q=Q.partial_scores(_q))}) USING (p_partkey)"
+_PARTS = " JOIN ".join(f"({_BEST.format(n=n, q=Q.partial_scores(q))}) {'USING (p_partkey)' if n != 'pw' else ''}" for n, q in (("pw", _WHOLE), ("ps", _SORT), ("pt", _SET)))
+_LONG = "greatest(length(a), length(b)) / least(length(a), length(b))::DOUBLE"
+ORACLES["fuzz_weighted_ratio"] = f"""SELECT p_partkey, a, b, round(CASE WHEN d < 1.5 THEN greatest(w, 0.95 * s, 0.95 * t) ELSE greatest(w, z * pw, 0.95 * z * ps, 0.95 * z * pt) END, 6) AS value
+FROM (SELECT p_partkey, a, b, {_LONG} AS d, (CASE WHEN {_LONG} > 8 THEN 0.6 ELSE 0.9 END)::DOUBLE AS z, ({_FUZZ["ratio"]})::DOUBLE AS w, ({_FUZZ["token_sort_ratio"]})::DOUBLE AS s, ({_FUZZ["token_set_ratio"]})::DOUBLE AS t FROM ({_SETS3})) JOIN (SELECT * FROM {_PARTS}) USING (p_partkey)"""
 _TOK_CELL = "least(row[j[1] + 1] + 1, new[j[1]] + 1, row[j[1]] + CASE WHEN tb[j[1]] = ta[x[1]] THEN 0 ELSE 1 END)::INT"
 _add("levenshtein_tokens", lambda s, d: names(s, d).select("p_partkey", T.levenshtein_tokens(F.split("a", " "), F.split("b", " ")).alias("value")),
      f"SELECT p_partkey, list_reduce([[i::INT] FOR i IN range(1, len(ta) + 1)], lambda row, x: list_reduce([[j::INT] FOR j IN range(1, len(tb) + 1)], lambda new, j: list_append(new, {_TOK_CELL}), [x[1]]), [k::INT FOR k IN range(0, len(tb) + 1)])[len(tb) + 1] AS value FROM (SELECT p_partkey, string_split(a, ' ') AS ta, string_split(b, ' ') AS tb FROM ({_N}))")
@@ -104,7 +115,8 @@ _add("nysiis", lambda s, d: words(s, d).select("word", P.nysiis("word").alias("c
 
 DOCS = lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
 _TOK = "SELECT doc_id, lang, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents"
-ORACLES["soundex"] = _SOUND.format(tok=_TOK)
+_WORDS = f"SELECT DISTINCT term AS word FROM ({_TOK})"
+ORACLES |= {"soundex": _SOUND.format(tok=_TOK), "metaphone": Q.metaphone(_WORDS), "nysiis": Q.nysiis(_WORDS)}
 _TF = f"tf AS (SELECT doc_id, any_value(lang) AS lang, term, count(*)::DOUBLE AS tf FROM ({_TOK}) GROUP BY doc_id, term), n AS (SELECT count(*) AS n FROM documents)"
 _DF = "df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)"
 
@@ -162,7 +174,8 @@ _add("char_wb_ngrams_4", lambda s, d: _total(_counts(s, d, V.Analyzer("char_wb",
 _STOP = ("the", "and", "of", "to", "is", "der", "die", "und", "la", "le", "de", "el", "que")
 _add("stop_word_filter", lambda s, d: _total(_counts(s, d, V.Analyzer(stop_words=_STOP))), _SUM.format(t=f"SELECT doc_id, term FROM ({_TOK}) WHERE term NOT IN {_STOP}"))
 _add("strip_accents", lambda s, d: _total(_counts(s, d, V.Analyzer(strip_accents=True))), _SUM.format(t="SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(coalesce(text, ''))), '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents"))
-_add("hashing_vectorizer", lambda s, d: V.hashing_vectorize(_counts(s, d), "doc_id", 1 << 18).withColumn("value", F.round("value", 6)))
+_add("hashing_vectorizer", lambda s, d: V.hashing_vectorize(_counts(s, d), "doc_id", 1 << 18).withColumn("value", F.round("value", 6)),
+     f"WITH {_TF}, h AS ({Q.murmur3('SELECT DISTINCT term FROM tf')}), c AS (SELECT doc_id, (abs(h) % 262144)::INT AS col, sum(CASE WHEN h < 0 THEN -tf ELSE tf END) AS v FROM tf JOIN h USING (term) GROUP BY 1, 2) SELECT doc_id, col, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 6) AS value FROM c WHERE v <> 0")
 _add("row_norms", lambda s, d: V.norms(_counts(s, d).withColumnRenamed("tf", "value"), "doc_id").withColumn("norm", F.round("norm", 6)), f"WITH {_TF} SELECT doc_id, round(sqrt(sum(tf * tf)), 6) AS norm FROM tf GROUP BY doc_id")
 
 
