@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sparklex.functions import tokenize as T
 from sparklex.functions.tokenize import models as M
 from sparklex.operators.vectorize import Analyzer
+from sparklex.plans import sql_text as Q
 from sparklex.plans.scratch import Scratch
 from sparklex.sources import artifacts as A
 from sparklex.streaming import metrics as S
@@ -49,7 +50,9 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.size("e.ids").cast("long").alias("n_tokens"), F.md5(F.array_join(F.transform("e.ids", lambda i: i.cast("string")), ",")).alias("digest"))
 
 
-_add("wordpiece_encode", lambda s, d: _counted(_docs(s, d).select("doc_id", T.encode(s, wordpiece(s, d), "text").alias("e"))))
+_WORDS = "SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents"
+_add("wordpiece_encode", lambda s, d: _counted(_docs(s, d).select("doc_id", T.encode(s, wordpiece(s, d), "text").alias("e"))),
+     f"{Q.wordpiece(_WORDS, 'SELECT doc_id AS key, coalesce(text, chr(32)) AS text FROM documents')} SELECT key AS doc_id, len(ids) AS n_tokens, md5(array_to_string(ids, ',')) AS digest FROM enc")
 
 
 def unigram(s: SparkSession, d: str) -> M.Unigram:
@@ -88,7 +91,8 @@ def _batched(s: SparkSession, d: str) -> DataFrame:
     return out.select("conv_id", "turn", F.size("input_ids").cast("long").alias("width"), F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_tokens"))
 
 
-_add("batch_encode", _batched)
+_TURNS = "SELECT {'c': conv_id, 't': turn} AS key, coalesce(text, '') AS text FROM conversations"
+_add("batch_encode", _batched, f"{Q.wordpiece(_WORDS, _TURNS)}, n AS (SELECT key.c AS conv_id, key.t AS turn, least(len(ids) + 2, 64) AS n_tokens FROM enc) SELECT conv_id, turn, max(n_tokens) OVER (PARTITION BY conv_id) AS width, n_tokens FROM n")
 
 
 def stream_confusion(s: SparkSession, d: str) -> DataFrame:

@@ -115,3 +115,18 @@ FROM (SELECT word, i, {code} AS code
 FROM (SELECT word, s, i, s[i] AS c, CASE WHEN i = 1 THEN '' ELSE s[i - 1] END AS p, s[i + 1] AS a, s[i + 2] AS b
 FROM (SELECT word, s, unnest(range(1, greatest(length(s), 1) + 1)) AS i
 FROM (SELECT word, {ends} AS s FROM (SELECT word, {heads} AS s FROM (SELECT word, {_letters('word')} AS s FROM ({words}))))))) GROUP BY word))))"""
+
+
+def wordpiece(words: str, texts: str, size: int = 3_000) -> str:
+    """Common table expressions up to ``enc`` (``key``, ``ids``) of ``texts`` (key, text): the vocabulary of the ``size``
+    most frequent of ``words`` (term), all characters and short continuations; greedy longest pieces of each distinct word."""
+    return f"""WITH RECURSIVE f AS (SELECT term, length(term) AS l, row_number() OVER (ORDER BY count(*) DESC, term) AS o FROM ({words}) GROUP BY term QUALIFY o <= {size}),
+ch AS (SELECT c, row_number() OVER (ORDER BY c) AS o FROM (SELECT DISTINCT unnest(string_split(lower(text), '')) AS c FROM documents WHERE text <> '') WHERE NOT regexp_matches(c, '^[\\s\\x{{1C}}-\\x{{1F}}\\x{{85}}\\p{{Z}}]$')),
+v AS (SELECT t, row_number() OVER (ORDER BY min(g * 1000000 + o)) - 1 AS id FROM (
+  SELECT unnest(['[PAD]', '[UNK]', '[CLS]', '[SEP]']) AS t, 0 AS g, unnest([1, 2, 3, 4]) AS o UNION ALL SELECT term, 1, o FROM f UNION ALL SELECT c, 2, o FROM ch
+  UNION ALL SELECT '##' || c, 3, o FROM ch UNION ALL SELECT '##' || term, 4, o FROM f WHERE l < 5) GROUP BY t),
+p AS (SELECT key, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS pos FROM (SELECT key, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+|[^\\p{{L}}\\p{{N}}\\p{{M}}_\\s\\p{{Z}}]+') AS w FROM ({texts}))),
+r AS (SELECT DISTINCT w, 1::BIGINT AS pos, []::BIGINT[] AS ids FROM p WHERE length(w) <= 100
+  UNION ALL SELECT w, pos + max(n), list_append(any_value(ids), arg_max(id, n)) FROM (SELECT w, pos, ids, n, CASE WHEN pos > 1 THEN '##' ELSE '' END || substr(w, pos, n) AS t FROM (SELECT w, pos, ids, unnest(range(1, length(w) - pos + 2)) AS n FROM r)) JOIN v USING (t) GROUP BY w, pos),
+d AS (SELECT w, ids FROM r WHERE pos > length(w)),
+enc AS (SELECT key, flatten(coalesce(list(coalesce(ids, [1]) ORDER BY pos) FILTER (pos IS NOT NULL), [])) AS ids FROM (SELECT key FROM ({texts})) LEFT JOIN p USING (key) LEFT JOIN d USING (w) GROUP BY key)"""
