@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparklex.operators._common import grouped, ratio, undefined, weight_of
+from sparklex.plans.ranks import percentiles
 
 EPS = 2.0**-52
 
@@ -24,6 +25,37 @@ def confusion(df: DataFrame, y_true: str, y_pred: str, weight: str | None = None
     return rows.groupBy(*by, "y_true", "y_pred").agg(F.sum("w").alias("w"))
 
 
+def _listed(labels: Sequence) -> list:
+    if not labels or len(set(labels)) != len(labels) or any(x is None for x in labels):
+        raise ValueError("labels must be distinct, at least one, and not null")
+    return list(labels)
+
+
+def _label_table(cm: DataFrame, labels: Sequence, by: Sequence[str]) -> DataFrame:
+    """``by``, ``label``, ``pos``: the given labels in their order, for every group."""
+    kind = cm.schema["y_true"].dataType
+    pairs = F.posexplode(F.array(*[F.lit(x).cast(kind) for x in _listed(labels)])).alias("pos", "label")
+    groups = cm.select(*by).distinct() if by else cm.sparkSession.range(1).select()
+    return groups.select(*by, pairs)
+
+
+def matrix(cm: DataFrame, labels: Sequence, by: Sequence[str] = ()) -> DataFrame:
+    """``by``, ``row``, ``column``, ``y_true``, ``y_pred``, ``w``: every cell of the given labels, in their order, 0 where no
+    sample falls. Samples with another label on either side are left out; ``dropped`` weighs them."""
+    table = _label_table(cm, labels, by)
+    a = table.select(*by, F.col("pos").alias("row"), F.col("label").alias("y_true"))
+    b = table.select(*by, F.col("pos").alias("column"), F.col("label").alias("y_pred"))
+    cells = a.join(b, list(by)) if by else a.crossJoin(F.broadcast(b))  # labels squared
+    return cells.join(cm, [*by, "y_true", "y_pred"], "left").select(*by, "row", "column", "y_true", "y_pred", F.coalesce("w", F.lit(0.0)).alias("w"))
+
+
+def dropped(cm: DataFrame, labels: Sequence, by: Sequence[str] = ()) -> DataFrame:
+    """``by``, ``value``: the weight of samples whose label or prediction is not among ``labels``."""
+    names = _listed(labels)
+    inside = F.col("y_true").isin(names) & F.col("y_pred").isin(names)
+    return grouped(cm, by).agg(F.coalesce(F.sum(F.when(~inside, F.col("w"))), F.lit(0.0)).alias("value"))
+
+
 def normalized(cm: DataFrame, over: str = "all", by: Sequence[str] = ()) -> DataFrame:
     """The confusion table with ``w`` divided by its row (``true``), column (``pred``) or whole sum; 0/0 is 0."""
     keys = {"true": [*by, "y_true"], "pred": [*by, "y_pred"], "all": list(by) or [F.lit(0)]}[over]
@@ -33,13 +65,17 @@ def normalized(cm: DataFrame, over: str = "all", by: Sequence[str] = ()) -> Data
 def per_class(cm: DataFrame, by: Sequence[str] = (), labels: Sequence | None = None) -> DataFrame:
     """``by``, ``label``, ``tp``, ``predicted``, ``support`` for the union of labels, or for ``labels`` where given.
 
-    With ``labels`` the sums still run over all rows, so predictions on samples of other labels count.
+    With ``labels`` the sums still run over all rows, so predictions on samples of other labels count; a label that does
+    not occur has zeros, and ``pos`` is its place in the list.
     """
     same = F.when(F.col("y_true") == F.col("y_pred"), F.col("w")).otherwise(0.0)
     one = cm.select(*by, F.col("y_true").alias("label"), same.alias("tp"), F.lit(0.0).alias("predicted"), F.col("w").alias("support"))
     two = cm.select(*by, F.col("y_pred").alias("label"), F.lit(0.0).alias("tp"), F.col("w").alias("predicted"), F.lit(0.0).alias("support"))
     out = one.unionByName(two).groupBy(*by, "label").agg(*[F.sum(c).alias(c) for c in ("tp", "predicted", "support")])
-    return out if labels is None else out.where(F.col("label").isin(list(labels)))
+    if labels is None:
+        return out
+    zero = [F.coalesce(c, F.lit(0.0)).alias(c) for c in ("tp", "predicted", "support")]
+    return _label_table(cm, labels, by).join(out, [*by, "label"], "left").select(*by, "label", *zero, "pos")
 
 
 def _value(kind: str, beta: float, zero: str) -> Column:
@@ -101,8 +137,11 @@ def matthews(classes: DataFrame, zero_division: str = "zero", by: Sequence[str]
 
 
 def cohen_kappa(cm: DataFrame, classes: DataFrame, weights: str | None = None, zero_division: str = "nan", by: Sequence[str] = ()) -> DataFrame:
-    """Agreement beyond chance; ``linear`` and ``quadratic`` weights use the labels' positions, not their values."""
-    pos = classes.withColumn("pos", F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("label")))
+    """Agreement beyond chance; ``linear`` and ``quadratic`` weights use the labels' positions, not their values.
+
+    For labels of the caller's give ``matrix(cm, labels)`` and ``per_class(..., labels)`` of it: their order counts.
+    """
+    pos = classes if "pos" in classes.columns else classes.withColumn("pos", F.row_number().over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("label")))
     cost = lambda i, j: (F.when(i == j, 0.0).otherwise(1.0) if weights is None else F.abs(i - j) if weights == "linear" else (i - j) * (i - j)).cast("double")
     a = pos.select(*by, F.col("label").alias("y_true"), F.col("pos").alias("i"), F.col("support").alias("r"))
     b = pos.select(*by, F.col("label").alias("y_pred"), F.col("pos").alias("j"), F.col("predicted").alias("c"))
@@ -160,25 +199,44 @@ def likelihood_ratios(classes: DataFrame, pos_label=1, replace_positive: float =
     return s.select(*by, F.when(c("k") > 2, many).otherwise(up).alias("positive"), down.alias("negative"))
 
 
-def report(cm: DataFrame, by: Sequence[str] = (), zero_division: str = "zero") -> DataFrame:
-    """Rows of a classification report: every class, ``accuracy``, ``macro avg`` and ``weighted avg``."""
+def report(cm: DataFrame, by: Sequence[str] = (), zero_division: str = "zero", labels: Sequence | None = None) -> DataFrame:
+    """Rows of a classification report: every class, ``accuracy``, ``macro avg`` and ``weighted avg``.
+
+    With ``labels`` only those classes, in their order (column ``pos``); where a group has other labels too, ``micro avg``
+    stands in the place of ``accuracy``.
+    """
     c = F.col
-    each = per_class(cm, by).select(*by, c("label").cast("string").alias("row"), *[_value(k, 1.0, zero_division).alias(a) for k, a in (("precision", "precision"), ("recall", "recall"), ("fbeta", "f1"))], "support", "tp")
+    kinds = (("precision", "precision"), ("recall", "recall"), ("fbeta", "f1"))
+    classes = per_class(cm, by, labels)
+    each = classes.select(*by, c("label").cast("string").alias("row"), *[_value(k, 1.0, zero_division).alias(a) for k, a in kinds], "support", "tp", "predicted", *(["pos"] if labels else []))
     names = ("precision", "recall", "f1")
     macro = grouped(each, by).agg(*[F.avg(x).alias(x) for x in names], F.sum("support").alias("support")).withColumn("row", F.lit("macro avg"))
     mean = lambda x: ratio(F.sum(c(x) * c("support")), F.sum("support"))
     weighted = grouped(each, by).agg(*[mean(x).alias(x) for x in names], F.sum("support").alias("support")).withColumn("row", F.lit("weighted avg"))
-    hit = grouped(each, by).agg(F.sum("tp").alias("tp"), F.sum("support").alias("support"))
-    acc = hit.select(*by, F.lit("accuracy").alias("row"), *[(c("tp") / c("support")).alias(x) for x in names], "support")
+    hit = grouped(each, by).agg(*[F.sum(x).alias(x) for x in ("tp", "predicted", "support")])
     cols = [*by, "row", *names, "support"]
-    return each.select(cols).unionByName(acc.select(cols)).unionByName(macro.select(cols)).unionByName(weighted.select(cols))
+    if labels is None:
+        middle = hit.select(*by, F.lit("accuracy").alias("row"), *[(c("tp") / c("support")).alias(x) for x in names], "support")
+    else:
+        known = _listed(labels)
+        more = grouped(cm, by).agg(F.max(~c("y_true").isin(known) | ~c("y_pred").isin(known)).alias("_more"), F.sum("w").alias("_all"))
+        hit = hit.join(more, list(by)) if by else hit.crossJoin(F.broadcast(more))  # one row
+        value = lambda k: F.when(c("_more"), _value(k, 1.0, zero_division)).otherwise(ratio(c("tp"), c("_all"), zero_division))
+        middle = hit.select(*by, F.when(c("_more"), "micro avg").otherwise("accuracy").alias("row"), *[value(k).alias(a) for k, a in kinds], "support")
+    out = each.select(cols).unionByName(middle.select(cols)).unionByName(macro.select(cols)).unionByName(weighted.select(cols))
+    if labels is None:
+        return out
+    order = F.array(*[F.lit(str(x)) for x in [*known, "micro avg", "accuracy", "macro avg", "weighted avg"]])
+    return out.withColumn("pos", F.array_position(order, c("row")).cast("int") - 1)
 
 
 def report_text(rows: DataFrame, digits: int = 2) -> str:
-    """A report without groups as text; classes in the order of their names, then the summary rows."""
+    """A report without groups as text; classes in the order of their names, or of the labels given, then the summary."""
     got = {r["row"]: r for r in rows.collect()}
-    tail = ["accuracy", "macro avg", "weighted avg"]
-    names = sorted((k for k in got if k not in tail), key=lambda k: (not k.lstrip("-").isdigit(), int(k) if k.lstrip("-").isdigit() else 0, k))
+    middle = "micro avg" if "micro avg" in got else "accuracy"
+    tail = [middle, "macro avg", "weighted avg"]
+    place = (lambda k: got[k]["pos"]) if "pos" in rows.columns else (lambda k: (not k.lstrip("-").isdigit(), int(k) if k.lstrip("-").isdigit() else 0, k))
+    names = sorted((k for k in got if k not in tail), key=place)
     width = max([len(n) for n in names] + [len("weighted avg"), digits])
     line = lambda n, p, r, f, s: f"{n:>{width}s} " + "".join(f" {x:>9}" for x in (p, r, f, s)) + "\n"
     num = lambda x: f"{x:.{digits}f}"
@@ -187,8 +245,10 @@ def report_text(rows: DataFrame, digits: int = 2) -> str:
     for n in names:
         r = got[n]
         out += line(n, num(r["precision"]), num(r["recall"]), num(r["f1"]), count(r["support"]))
-    out += "\n" + line("accuracy", "", "", num(got["accuracy"]["f1"]), count(got["accuracy"]["support"]))
-    for n in tail[1:]:
+    out += "\n"
+    if middle == "accuracy":
+        out += line("accuracy", "", "", num(got["accuracy"]["f1"]), count(got["accuracy"]["support"]))
+    for n in tail if middle == "micro avg" else tail[1:]:
         r = got[n]
         out += line(n, num(r["precision"]), num(r["recall"]), num(r["f1"]), count(r["support"]))
     return out
@@ -248,7 +308,7 @@ def calibration_curve(df: DataFrame, y_true: str, p: str, bins: int = 5, strateg
     if strategy == "uniform":
         rows = df.withColumn("_e", F.array(*[F.lit(x) for x in inner]) if inner else F.array().cast("array<double>"))
     elif strategy == "quantile":
-        edges = df.agg(F.percentile(c, F.array(*[F.lit(x) for x in inner])).alias("_e") if inner else F.array().cast("array<double>").alias("_e"))
+        edges = percentiles(df, c, inner).withColumnRenamed("q", "_e") if inner else df.sparkSession.range(1).select(F.array().cast("array<double>").alias("_e"))
         rows = df.crossJoin(F.broadcast(edges))  # one row
     else:
         raise ValueError("strategy must be uniform or quantile")

@@ -8,15 +8,26 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from sparklex.plans.scratch import Scratch
 
 EPS = 2.0**-52
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
-    """``a``, ``b``, ``n`` with the marginals ``na``, ``nb`` and the total ``t``."""
-    c = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").cast("double").alias("n"))
-    return c.select("*", F.sum("n").over(Window.partitionBy("a")).alias("na"), F.sum("n").over(Window.partitionBy("b")).alias("nb"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("t"))
+    """``a``, ``b``, ``n`` with the marginals ``na``, ``nb`` and the total ``t``.
+
+    The counted cells are written once; marginals are aggregated and joined back, so a class that meets most others is
+    no single task's work. A null is a class of its own.
+    """
+    cells = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").cast("double").alias("n"))
+    cells = Scratch(df.sparkSession, "contingency").save(cells, "cells")
+    na = cells.groupBy(F.col("a").alias("_a")).agg(F.sum("n").alias("na"))
+    nb = cells.groupBy(F.col("b").alias("_b")).agg(F.sum("n").alias("nb"))
+    t = cells.agg(F.sum("n").alias("t"))  # one row
+    out = cells.join(na, F.col("a").eqNullSafe(F.col("_a"))).join(nb, F.col("b").eqNullSafe(F.col("_b"))).crossJoin(F.broadcast(t))
+    return out.select("a", "b", "n", "na", "nb", "t")
 
 
 def summary(cells: DataFrame) -> DataFrame:
@@ -198,7 +209,13 @@ def silhouette_samples(df: DataFrame, key: str, vector: str, label: str, block:
 
     kt, ct = df.schema[key].dataType.simpleString(), df.schema[label].dataType.simpleString()
     parts = left.crossJoin(right).repartition(max(1, n)).mapInPandas(sums, f"ka {kt}, ca {ct}, cb {ct}, s double, n double")
-    d = parts.groupBy("ka", "ca", "cb").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).where("n > 0").withColumn("d", F.col("s") / F.col("n"))
+    sums_ = parts.groupBy("ka", "ca", "cb").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).where("n > 0")
+    return _silhouettes(sums_, key)
+
+
+def _silhouettes(sums: DataFrame, key: str) -> DataFrame:
+    """``key``, ``value`` of the distances ``s`` of row ``ka`` in cluster ``ca`` to the ``n`` other rows of cluster ``cb``."""
+    d = sums.withColumn("d", F.col("s") / F.col("n"))
     own, other = F.col("ca") == F.col("cb"), F.col("ca") != F.col("cb")
     s = d.groupBy("ka", "ca").agg(F.max(F.when(own, F.col("d"))).alias("a"), F.min(F.when(other, F.col("d"))).alias("b"))
     top = F.greatest("a", "b")
@@ -207,3 +224,21 @@ def silhouette_samples(df: DataFrame, key: str, vector: str, label: str, block:
 
 def silhouette(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     return silhouette_samples(df, key, vector, label).agg(_value(F.avg("value")))
+
+
+def silhouette_from_distances(distances: DataFrame, clusters: DataFrame, a: str, b: str, distance: str, key: str, label: str, samples: bool = False) -> DataFrame:
+    """The mean silhouette, or with ``samples`` ``key`` and ``value``, from a table of distances of every ordered pair of rows.
+
+    ``clusters`` holds ``key`` and ``label`` once a row. Pairs of a row with itself are ignored; a negative, null or NaN
+    distance and fewer than two clusters are refused.
+    """
+    d = F.col(distance).cast("double")
+    d = F.when(d.isNull() | F.isnan(d) | (d < 0), F.raise_error(F.lit("distances must be numbers of at least 0")).cast("double")).otherwise(d)
+    pairs = distances.select(F.col(a).alias("ka"), F.col(b).alias("kb"), d.alias("d")).where("ka <> kb")
+    sums = pairs.join(clusters.select(F.col(key).alias("kb"), F.col(label).alias("cb")), "kb").groupBy("ka", "cb").agg(F.sum("d").alias("s"), F.count("*").cast("double").alias("n"))
+    sums = sums.join(clusters.select(F.col(key).alias("ka"), F.col(label).alias("ca")), "ka")
+    each = _silhouettes(sums, key)
+    few = clusters.select(label).distinct().limit(2).count() < 2
+    if few:
+        raise ValueError("silhouettes need two clusters")
+    return each if samples else each.agg(_value(F.avg("value")))

@@ -135,8 +135,21 @@ def _exploded(df: DataFrame, y_true: str, scores: str, weight: str | None) -> Da
     return df.select(F.col(y_true).alias("y"), weight_of(weight).alias("w"), F.posexplode(scores).alias("c", "s"))
 
 
-def roc_auc_ovr(df: DataFrame, y_true: str, scores: str, average: str = "macro", weight: str | None = None) -> DataFrame:
-    """One class against the rest, ``scores`` an array of probabilities; ``macro`` or ``weighted`` by prevalence."""
+def positions(df: DataFrame, y_true: str, labels: Sequence) -> DataFrame:
+    """``df`` with ``y_true`` as its place in ``labels``, the order of the score columns; another label is refused."""
+    if len(set(labels)) != len(labels) or len(labels) < 2:
+        raise ValueError("labels must be distinct, and at least two")
+    at = F.array_position(F.array(*[F.lit(x).cast(df.schema[y_true].dataType) for x in labels]), F.col(y_true))
+    bad = F.raise_error(F.lit("a label is not among those given")).cast("int")
+    return df.withColumn(y_true, F.when(F.coalesce(at, F.lit(0)) > 0, at.cast("int") - 1).otherwise(bad))
+
+
+def roc_auc_ovr(df: DataFrame, y_true: str, scores: str, average: str = "macro", weight: str | None = None, labels: Sequence | None = None) -> DataFrame:
+    """One class against the rest, ``scores`` an array of probabilities; ``macro`` or ``weighted`` by prevalence.
+
+    ``y_true`` is the class's place in the array, or one of ``labels`` in that order.
+    """
+    df = df if labels is None else positions(df, y_true, labels)
     rows = _exploded(_sums_to_one(df, scores), y_true, scores, weight).withColumn("hit", (F.col("y") == F.col("c")).cast("int"))
     each = roc_auc(rows, "hit", "s", 1, "w", ["c"])
     if average == "macro":
@@ -145,8 +158,10 @@ def roc_auc_ovr(df: DataFrame, y_true: str, scores: str, average: str = "macro",
     return each.join(share, "c").agg((F.sum(F.col("value") * F.col("p")) / F.sum("p")).alias("value"))
 
 
-def roc_auc_ovo(df: DataFrame, y_true: str, scores: str, average: str = "macro") -> DataFrame:
-    """Every pair of classes in both directions, on the samples of those two; ``weighted`` by the pair's prevalence."""
+def roc_auc_ovo(df: DataFrame, y_true: str, scores: str, average: str = "macro", labels: Sequence | None = None) -> DataFrame:
+    """Every pair of classes in both directions, on the samples of those two; ``weighted`` by the pair's prevalence.
+    ``labels`` as above."""
+    df = df if labels is None else positions(df, y_true, labels)
     base = _sums_to_one(df, scores).select(F.col(y_true).alias("y"), F.col(scores).alias("q"))
     k = F.size("q")
     others = F.filter(F.sequence(F.lit(0), k - 1), lambda i: i != F.col("y"))

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparklex.operators._common import finite, grouped, undefined, weight_of
+from sparklex.plans.ranks import percentiles, running_weights
 
 EPS = 2.0**-52
 
@@ -141,14 +142,16 @@ def quantile(rows: DataFrame, value: str, q: float, weight: str | None = None, b
     """``q``-quantile by group. Unweighted: the linear percentile, exact. Weighted: the mean of the lower value (first
     whose running weight reaches ``q``) and the upper one (first whose running weight passes ``q`` by over 2^-52).
 
-    Equal values are summed before the running sum, so a window holds distinct values only.
+    Equal values are summed before the running sum, so a window holds distinct values only; without groups the distinct
+    values are spread over ranges.
     """
     if weight is None:
-        return grouped(rows, by).agg(F.percentile(value, F.lit(q)).alias("value"))
+        return grouped(rows, by).agg(F.percentile(value, F.lit(q)).alias("value")) if by else percentiles(rows, F.col(value), [q]).select(F.col("q")[0].alias("value"))
     g = rows.groupBy(*by, F.col(value).alias("v")).agg(F.sum(weight_of(weight)).alias("w")).where("w > 0")
-    keys = list(by) or [F.lit(0)]
-    run = F.sum("w").over(Window.partitionBy(*keys).orderBy("v")) / F.sum("w").over(Window.partitionBy(*keys))
-    g = g.withColumn("c", run)
+    if by:
+        g = g.withColumn("c", F.sum("w").over(Window.partitionBy(*by).orderBy("v")) / F.sum("w").over(Window.partitionBy(*by)))
+    else:
+        g = running_weights(g).withColumn("c", F.col("c") / F.col("t"))
     out = grouped(g, by).agg(F.min(F.when(F.col("c") >= q - EPS, F.col("v"))).alias("lo"), F.min(F.when(F.col("c") - q > EPS, F.col("v"))).alias("hi"), F.max("v").alias("top"))
     return out.select(*by, ((F.coalesce("lo", "top") + F.coalesce("hi", "top")) / 2).alias("value"))
 

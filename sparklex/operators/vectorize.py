@@ -189,20 +189,40 @@ def hashing_vectorize(counts: DataFrame, key: str, n_features: int = 1 << 20, no
     return normalize(rows, key, norm)
 
 
-def save_vectorizer(vocab: DataFrame, options: dict, path: str) -> None:
-    """The vocabulary as Parquet beside its options as JSON, with a format name and version."""
+#: The fields that the options of a saved vectorizer may have, and their types.
+OPTION_FIELDS = {"kind": str, "ngrams": list, "lowercase": bool, "strip_accents": bool, "pattern": str, "stop_words": list, "min_df": (int, float), "max_df": (int, float), "binary": bool, "norm": (str, type(None)), "sublinear": bool, "smooth": bool, "n_docs": int, "n_features": int, "alternate_sign": bool}
+
+
+def _checked(options: dict) -> dict:
+    for name, value in options.items():
+        if name not in OPTION_FIELDS or not isinstance(value, OPTION_FIELDS[name]) or isinstance(value, bool) and OPTION_FIELDS[name] is not bool:
+            raise ValueError(f"{name} is no option of a vectorizer, or {value!r} no value of it")
+    if options.get("kind", "word") not in ("word", "char", "char_wb") or options.get("norm", "l2") not in ("l1", "l2", None):
+        raise ValueError("kind must be word, char or char_wb, and norm l1, l2 or None")
+    if "ngrams" in options and not (len(options["ngrams"]) == 2 and all(type(n) is int for n in options["ngrams"]) and 1 <= options["ngrams"][0] <= options["ngrams"][1]):
+        raise ValueError("ngrams must be two ordered sizes of at least 1")
+    if not all(isinstance(w, str) for w in options.get("stop_words", [])):
+        raise ValueError("stop words must be strings")
+    return options
+
+
+def save_vectorizer(vocab: DataFrame | None, options: dict, path: str, spark=None) -> None:
+    """The options as JSON with a format name and version, and the vocabulary (with ``idf`` if it has one) as Parquet; a
+    hashing vectorizer has none, and needs the session instead."""
     import json
 
-    spark = vocab.sparkSession
-    vocab.write.parquet(f"{path}/vocabulary")
-    spark.createDataFrame([(json.dumps({"format": "sparklex/vectorizer", "version": 1, "options": options}, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/options")
+    spark = vocab.sparkSession if vocab is not None else spark
+    doc = {"format": "sparklex/vectorizer", "version": 1, "vocabulary": vocab is not None, "options": _checked(json.loads(json.dumps(options)))}
+    if vocab is not None:
+        vocab.write.parquet(f"{path}/vocabulary")
+    spark.createDataFrame([(json.dumps(doc, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/options")
 
 
-def load_vectorizer(spark, path: str) -> tuple[DataFrame, dict]:
-    """What ``save_vectorizer`` wrote; an unknown format, version or property is refused."""
+def load_vectorizer(spark, path: str) -> tuple[DataFrame | None, dict]:
+    """What ``save_vectorizer`` wrote; an unknown format, version, property or option is refused."""
     import json
 
     doc = json.loads(spark.read.text(f"{path}/options").first()[0])
-    if set(doc) != {"format", "version", "options"} or doc["format"] != "sparklex/vectorizer" or doc["version"] != 1:
+    if set(doc) != {"format", "version", "vocabulary", "options"} or doc["format"] != "sparklex/vectorizer" or doc["version"] != 1:
         raise ValueError(f"{path} is no vectorizer of this version")
-    return spark.read.parquet(f"{path}/vocabulary"), doc["options"]
+    return spark.read.parquet(f"{path}/vocabulary") if doc["vocabulary"] else None, _checked(doc["options"])

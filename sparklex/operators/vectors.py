@@ -107,7 +107,30 @@ def _search(shared, k: int, normalize: bool, types: tuple):
     return run
 
 
+INDEX_FORMAT, INDEX_VERSION = "sparklex/index", 1
+
+
 def save_index(index: DataFrame, key: str, vector: str, path: str, normalize: bool = False) -> None:
-    """The index as Parquet, float32, normalised on the way if asked."""
+    """The index as Parquet, float32, normalised on the way if asked, beside a header with format, version, dimension,
+    flag and column names. Null vectors and vectors of different lengths are refused."""
+    import json
+
     v = l2_normalize(vector) if normalize else F.transform(vector, lambda x: x.cast("float"))
+    sizes = index.agg(F.min(F.coalesce(F.size(vector), F.lit(-1))).alias("a"), F.max(F.size(vector)).alias("b")).first()
+    if sizes["a"] is not None and (sizes["a"] != sizes["b"] or sizes["a"] < 1):
+        raise ValueError("the vectors of an index have one length, at least 1")
     index.select(key, v.alias(vector)).write.parquet(path)
+    header = {"format": INDEX_FORMAT, "version": INDEX_VERSION, "dimension": sizes["a"] or 0, "normalized": normalize, "key": key, "vector": vector}
+    index.sparkSession.createDataFrame([(json.dumps(header, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/_meta/header")
+
+
+def load_index(spark, path: str, dimension: int | None = None) -> tuple[DataFrame, dict]:
+    """What ``save_index`` wrote, and its header; another format or version, or a dimension other than ``dimension``, is refused."""
+    import json
+
+    header = json.loads(spark.read.text(f"{path}/_meta/header").first()[0])
+    if header.get("format") != INDEX_FORMAT or header.get("version") != INDEX_VERSION:
+        raise ValueError(f"{path} is no index of this version")
+    if dimension is not None and header["dimension"] != dimension:
+        raise ValueError(f"the index has {header['dimension']} dimensions, not {dimension}")
+    return spark.read.parquet(path), header
