@@ -9,8 +9,13 @@ such sets share one among the first n - ceil(percent n / 100) + 1 of each. The o
 a sample of the documents last, which keeps the groups behind a shingle small; whatever the sample holds, no pair is lost.
 
 Groups of up to ``hot`` texts are joined pairwise. In a greater one every text first meets a few pivots, and then only
-texts of different components meet. Before any set is fetched, the sizes and 256 parity bits of the sets rule pairs out:
-the parities of two sets differ in at most as many bits as the sets do in members. What is left is verified on the sets.
+texts of different components meet. Before any text is fetched, the sizes and parity bits of the sets rule pairs out:
+the parities of two sets differ in at most as many bits as the sets do in members. There are 256 bits for a first look
+and then one at least for each member, as 256 are all used up by the sets of long texts.
+
+What is left is verified on the sets. Texts are shuffled for that, not sets, which take more bytes, and once for all
+pairs of a group: pairs meet at the least text that the first of them is paired with, so near copies of one another meet
+in one place. A group of over ``GROUP`` members of sets is split.
 
 Defined cases: a text of fewer words than a shingle is one shingle, so null texts and texts without words are equal;
 texts of the same 64-bit hash count as one; a row goes if its component has another keeper, decided by key and text, so
@@ -20,14 +25,17 @@ stays; an empty table gives an empty table; other columns play no part.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from sparklex.llm._text import fresh, map_rows
+from sparklex.llm._text import SLICE_ROWS, fresh, map_rows
 from sparklex.llm.simhash import close_pairs
 from sparklex.plans.components import connected_components
-from sparklex.plans.scratch import Scratch, tidy
+from sparklex.plans.scratch import Scratch, swept, tidy
 from sparklex.plans.skew import join_counted
 
 #: Documents of the sample, the frequent shingles taken from it at most, and the count that makes one frequent.
@@ -36,9 +44,13 @@ SAMPLE, MAX_FREQUENT, FREQUENT = 20_000, 100_000, 4
 PIVOTS = 4
 #: Shared shingles of a text that tell where a pair is made.
 FIRST = 16
+#: Members of the sets, counted for each pair, that one group of pairs may hold.
+GROUP = 1 << 22
+#: A bitmap that rules out texts no pair holds: maps of 2^15 bits, and how many of them at most (8 MB are broadcast).
+MAP_BITS, MAPS = 15, 1 << 11
 _PARITY = [f"m{i}" for i in range(4)]
 _SET = StructType([StructField("s", ArrayType(LongType()))])
-_SIGNATURE = StructType([*[StructField(c, LongType()) for c in ("n", "fp", *_PARITY)], StructField("prefix", ArrayType(LongType()))])
+_SIGNATURE = StructType([*[StructField(c, LongType()) for c in ("n", "fp", *_PARITY)], StructField("wide", ArrayType(LongType())), StructField("prefix", ArrayType(LongType()))])
 
 
 def shingle_set(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
@@ -50,8 +62,8 @@ def shingle_set(text: str | None, shingle: int = 5, seed: int = 42) -> np.ndarra
     return np.unique(np.fromiter((xxh64_intdigest(g, seed) for g in grams), dtype="<u8").view("<i8"))
 
 
-def _parity(h: np.ndarray) -> list[int]:
-    odd = np.bincount(h & 255, minlength=256) & 1
+def _parity(h: np.ndarray, bits: int = 256) -> list[int]:
+    odd = np.bincount(h & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
 
 
@@ -63,8 +75,73 @@ def _fingerprint(h: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
 
 
+def _width(n: int) -> int:
+    """Bits of the wide parities of a set: a power of two, one bit for each member at least."""
+    return max(256, 1 << (n - 1).bit_length())
+
+
+def _apart(x: str, y: str):
+    """The bits in which two wide parities differ, the longer one folded to the length of the other."""
+    least = F.least(F.size(x), F.size(y))
+
+    def folded(w: str):
+        halves = F.sequence(F.lit(0), F.floor(F.size(w) / least).cast("int") - 1)
+        return F.aggregate(halves, F.array_repeat(F.lit(0).cast("bigint"), least), lambda acc, i: F.zip_with(acc, F.slice(w, i * least + 1, least), lambda p, q: p.bitwiseXOR(q)))
+
+    return F.aggregate(F.zip_with(folded(x), folded(y), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda acc, b: acc + b)
+
+
+def _among(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``u`` is in ``wanted``, and a few others: those that share their bits in a map of
+    bounded size with one of them."""
+    where, place = F.shiftright("u", MAP_BITS).bitwiseAND(F.lit(MAPS - 1)), F.col("u").bitwiseAND(F.lit((1 << MAP_BITS) - 1))
+    maps = wanted.select(where.alias("at"), place.alias("place")).groupBy("at").agg(F.bitmap_construct_agg("place").alias("map"))
+    byte = F.conv(F.hex(F.substring("map", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return docs.withColumn("at", where).join(F.broadcast(maps), "at").where(F.getbit(byte, (place % 8).cast("int")) == 1).select(*docs.columns)
+
+
+def _meet(rows: DataFrame, percent: int, shingle: int, seed: int) -> DataFrame:
+    """``(a, b)``: the pairs that are similar enough, of rows of a group (``home``, ``part``), a text ``u`` of it and the
+    texts ``others`` that it is paired with there. Only the sets of one group are held."""
+    fields = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sets, paired, found = None, {}, [], []
+
+        def close() -> None:
+            for a, others in paired:
+                for b in others:
+                    x, y = sets[a], sets[b]
+                    if len(np.intersect1d(x, y, assume_unique=True)) * (100 + percent) >= percent * (len(x) + len(y)):
+                        found.append((a, b))
+            sets.clear()
+            paired.clear()
+
+        def links() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], type=pa.int64()) for i in range(2)], schema=fields)
+            found.clear()
+            return out
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                for home, piece, u, others, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if (home, piece) != at:
+                        close()
+                        at = (home, piece)
+                    sets[u] = shingle_set(text, shingle, seed)
+                    if others:
+                        paired.append((u, others))
+            yield links()
+        close()
+        yield links()
+
+    dealt = rows.repartition("home", "part").sortWithinPartitions("home", "part")
+    return dealt.select("home", "part", "u", "others", "text").mapInArrow(run, "a bigint, b bigint")
+
+
 def _signatures(docs: DataFrame, frequent: dict[int, int], percent: int, shingle: int, seed: int) -> DataFrame:
-    """``u``, the size of the set, its fingerprint, its parities and its prefix, a row for each row."""
+    """``u``, the size of the set, its fingerprint, its parities, short and wide, and its prefix, a row for each row."""
     known = np.array(sorted(frequent), dtype=np.int64)
     shared = docs.sparkSession.sparkContext.broadcast((known, np.array([frequent[int(x)] for x in known], dtype=np.int64)))
 
@@ -78,7 +155,7 @@ def _signatures(docs: DataFrame, frequent: dict[int, int], percent: int, shingle
             if len(known):
                 at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 order = np.lexsort((h, np.where(known[at] == h, counts[at], 0)))
-            return (n, _fingerprint(h), *_parity(h), h[order[: n - -(-percent * n // 100) + 1]].tolist())
+            return (n, _fingerprint(h), *_parity(h), _parity(h, _width(n)), h[order[: n - -(-percent * n // 100) + 1]].tolist())
 
         return one
 
@@ -101,7 +178,9 @@ def close_texts(docs: DataFrame, percent: int = 80, shingle: int = 5, seed: int
     rows = scratch.save(_signatures(docs, frequent, percent, shingle, seed), "signatures")
     tokens = rows.select("u", "n", F.explode("prefix").alias("t")).repartition("t").distinct()
     shared = scratch.save(tokens.withColumn("c", F.count("*").over(Window.partitionBy("t"))).where("c > 1"), "shared")
-    info = scratch.save(rows.select("u", "n", *_PARITY, F.col("u").alias("r")).join(shared.select("u").distinct(), "u", "left_semi").distinct(), "members")
+    members = rows.select("u", "n", *_PARITY, "wide").join(shared.select("u").distinct(), "u", "left_semi").dropDuplicates(["u"])
+    members = scratch.save(members, "members")
+    info, wide = members.select("u", "n", *_PARITY, F.col("u").alias("r")), members.select("u", "n", "wide")
 
     def sizes(x, y):
         return (100 * x >= percent * y) & (100 * y >= percent * x)
@@ -115,14 +194,22 @@ def close_texts(docs: DataFrame, percent: int = 80, shingle: int = 5, seed: int
         return of.select(F.col("u").alias(x), *[F.col(c).alias(f"{x}{c}") for c in ("n", *_PARITY)], *[F.col(c).alias(f"{x}{c}") for c in more])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.save(pairs, "pairs")
+        for x in ("a", "b"):
+            pairs = pairs.join(wide.select(F.col("u").alias(x), F.col("n").alias(f"{x}n"), F.col("wide").alias(f"{x}w")), x)
+        both = F.col("an") + F.col("bn")
+        pairs = scratch.save(pairs.where(_apart("aw", "bw") * (100 + percent) <= both * (100 - percent)).select("a", "b", both.alias("w")), "pairs")
         if pairs.isEmpty():
-            return pairs
-        wanted = scratch.save(pairs.select(F.col("a").alias("u")).unionByName(pairs.select(F.col("b").alias("u"))).distinct(), "wanted")
-        whole = scratch.save(sets(docs.join(wanted, "u", "left_semi").dropDuplicates(["u"])), "sets")
-        each = pairs.join(whole.select(F.col("u").alias("a"), F.col("s").alias("sa")), "a").join(whole.select(F.col("u").alias("b"), F.col("s").alias("sb")), "b")
-        right = F.size(F.array_intersect("sa", "sb")) * (100 + percent) >= percent * (F.size("sa") + F.size("sb"))
-        return scratch.save(each.where(right).select("a", "b"), "links")
+            return pairs.select("a", "b")
+        ends = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        homes = ends.groupBy("a").agg(F.least("a", F.min("b")).alias("home"))
+        at = scratch.save(pairs.join(homes, "a"), "homes")
+        great = at.groupBy("home").agg(F.ceil(F.sum("w") / GROUP).alias("parts")).where("parts > 1")
+        part = F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1).cast("bigint")))
+        at = at.join(great, "home", "left").select("home", part.alias("part"), "a", "b")
+        sides = at.select("home", "part", F.col("a").alias("u"), "b").unionByName(at.select("home", "part", F.col("b").alias("u"), F.lit(None).cast("bigint").alias("b")))
+        needs = scratch.save(sides.groupBy("home", "part", "u").agg(F.collect_list("b").alias("others")), "needs")
+        texts = _among(docs.select("u", "text"), needs).dropDuplicates(["u"])
+        return scratch.save(_meet(needs.join(texts, "u"), percent, shingle, seed), "links")
 
     def worth(pairs: DataFrame) -> DataFrame:
         return pairs.distinct().join(side(info, "a", "r"), "a").join(side(info, "b", "r"), "b").where((F.col("ar") != F.col("br")) & alike("a", "b")).select("a", "b")
@@ -133,6 +220,7 @@ def close_texts(docs: DataFrame, percent: int = 80, shingle: int = 5, seed: int
     both = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     first = rows.select("fp", "u").distinct().join(marks, "fp").where("u <> head").select(*both("u", "head"))
     first = verified(worth(first.unionByName(alike_marks.join(of("a"), "a").join(of("b"), "b").select(*both("ha", "hb")))))
+    scratch.drop(rows)
     roots = scratch.save(connected_components(first).select(F.col("node").alias("u"), "root"), "first-roots")
     info = scratch.save(info.join(roots, "u", "left").select("u", "n", *_PARITY, F.coalesce("root", "u").alias("r")), "rooted")
 
@@ -165,7 +253,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **settings)
     grow with the input and must not be broadcast.
     """
     scratch = Scratch(df.sparkSession, "kept")
-    with tidy(df.sparkSession):
+    with tidy(df.sparkSession), swept(df.sparkSession):
         rows = scratch.save(_heads(df, key, text, settings), "rows")
     stays = (F.col("k") == F.col("hk")) & (F.col("u") == F.col("hu"))
     gk, gu, hashed = fresh(df, "_gone"), fresh(df, "_gone_text"), fresh(df, "_hash")

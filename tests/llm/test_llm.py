@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparklex.llm import byte_bpe, chat_preferences, latent_leaks, licenses, near_copies, pii, quality_rules, rule_ensemble, secrets, simhash, toxicity
+from sparklex.plans.scratch import Scratch, scratch_root
 
 SF = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
@@ -807,6 +808,75 @@ def test_near_copies_planted(spark, odd, empty):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter([0, 3, 4, 5, 6, None])
 
 
+@pytest.mark.parametrize("group", [None, 5_000])
+def test_near_copies_of_long_texts_take_little_disk(spark, monkeypatch, tmp_path, group):
+    """Long texts, copies and others with a passage in common, against all pairs; what lies in the scratch folder and in
+    Spark's own after each written table stays below the input, at the default group and with groups split."""
+    if group:
+        monkeypatch.setattr(near_copies, "GROUP", group)
+    rng = np.random.default_rng(11)
+    common = [f"c{x}" for x in rng.integers(0, 10**6, 300)]
+    texts = []
+    for i in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, 900 + 100 * i)]
+        texts.append(" ".join([*base, *common] if i % 2 else base))
+        for changes in (5, 6, 7, 8, 10, 20, 25, 60):
+            some = base[: len(base) - changes] + common * (i % 2)
+            for at in rng.integers(0, len(some), changes):
+                some[at] = f"new{rng.integers(0, 10**6)}"
+            texts.append(" ".join(some))
+    sets = [set(near_copies.shingle_set(t).tolist()) for t in texts]
+    alike = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    comp = list(range(len(texts)))
+    for _ in texts:
+        for i, j in alike:
+            comp[i] = comp[j] = min(comp[i], comp[j])
+    want = {i for i, c in enumerate(comp) if i == c}
+    assert 12 <= len(want) < len(texts) - 20
+    path = f"{tmp_path}/texts.parquet"
+    table(spark, texts).write.parquet(path)
+    own = [Path(d) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    lie = lambda tops: sum(f.stat().st_size for top in tops for f in top.rglob("*") if f.is_file())
+    seen, save = [], Scratch.save
+
+    def saved(self, df, name="t"):
+        out = save(self, df, name)
+        seen.append(lie([Path(scratch_root(spark)), *own]))
+        return out
+
+    floor = lie([Path(scratch_root(spark)), *own])
+    monkeypatch.setattr(Scratch, "save", saved)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # these tables are small, those that matter are not
+    try:
+        kept = near_copies.keep_one(spark.read.parquet(path), hot=8)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert max(seen) - floor <= sum(map(len, texts))
+    assert {r["doc_id"] for r in kept.collect()} == want
+
+
+@pytest.mark.parametrize("maps", [1, 1 << 11])
+def test_near_copies_fetch_no_text_too_few(spark, monkeypatch, maps):
+    monkeypatch.setattr(near_copies, "MAPS", maps)
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("u"), F.col("id").cast("string").alias("text"))
+    wanted = rows.where("text < 105")
+    got = {r["u"] for r in near_copies._among(rows, wanted.select("u")).collect()}
+    assert {r["u"] for r in wanted.collect()} <= got and len(got) < 1_000
+
+
+@pytest.mark.parametrize("n, m", [(3, 256), (300, 270), (1000, 1100), (5000, 1000), (4096, 4097)])
+def test_near_copies_parities_bound_the_difference(spark, n, m):
+    rng = np.random.default_rng(n)
+    whole = rng.integers(-(2**63), 2**63 - 1, n + m, dtype=np.int64)
+    x, y = np.unique(whole[:n]), np.unique(np.concatenate([whole[: min(n, m) * 9 // 10], whole[n:]])[:m])
+    row = [tuple(near_copies._parity(h, near_copies._width(len(h))) for h in (x, y))]
+    assert all(256 <= 64 * len(w) >= len(h) for w, h in zip(row[0], (x, y)))
+    apart = spark.createDataFrame(row, "x array<bigint>, y array<bigint>").select(near_copies._apart("x", "y")).first()[0]
+    least = min(len(w) for w in row[0]) * 64
+    want = sum(a != b for a, b in zip(*((np.bincount(h & (least - 1), minlength=least) & 1).tolist() for h in (x, y))))
+    assert apart == want <= len(np.setxor1d(x, y))
+
+
 # the pipeline
 
 
