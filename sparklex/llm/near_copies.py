@@ -35,7 +35,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from sparklex.llm._text import SLICE_ROWS, fresh, map_rows
 from sparklex.llm.simhash import close_pairs
 from sparklex.plans.components import connected_components
-from sparklex.plans.scratch import Scratch, swept, tidy
+from sparklex.plans.scratch import Scratch, setting, swept, tidy
 from sparklex.plans.skew import join_counted
 
 #: Documents of the sample, the frequent shingles taken from it at most, and the count that makes one frequent.
@@ -44,6 +44,8 @@ SAMPLE, MAX_FREQUENT, FREQUENT = 20_000, 100_000, 4
 PIVOTS = 4
 #: Shared shingles of a text that tell where a pair is made.
 FIRST = 16
+#: Texts that travel to Python at a time; they lie outside the heap, once in the JVM and once in Python.
+BATCH_ROWS = 4 * SLICE_ROWS
 #: Members of the sets, counted for each pair, that one group of pairs may hold.
 GROUP = 1 << 22
 #: A bitmap that rules out texts no pair holds: maps of 2^15 bits, and how many of them at most (8 MB are broadcast).
@@ -253,7 +255,7 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **settings)
     grow with the input and must not be broadcast.
     """
     scratch = Scratch(df.sparkSession, "kept")
-    with tidy(df.sparkSession), swept(df.sparkSession):
+    with tidy(df.sparkSession), swept(df.sparkSession), setting(df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS)):
         rows = scratch.save(_heads(df, key, text, settings), "rows")
     stays = (F.col("k") == F.col("hk")) & (F.col("u") == F.col("hu"))
     gk, gu, hashed = fresh(df, "_gone"), fresh(df, "_gone_text"), fresh(df, "_hash")
