@@ -231,7 +231,7 @@ def close_texts(docs: DataFrame, percent: int = 80, shingle: int = 5, seed: int
     pairs = x.join(y, (x["t"] == y["t"]) & (x["a"] < y["b"]) & sizes(x["an"], y["bn"])).select("a", "b")
     if warm.isEmpty():
         return first.unionByName(verified(worth(pairs)))
-    pivots = warm.groupBy("t").agg(F.array(*[F.min_by("u", F.xxhash64("u", "t", F.lit(i))) for i in range(PIVOTS)]).alias("p")).select("t", F.explode("p").alias("p"))
+    pivots = warm.groupBy("t").agg(F.array(*[F.min_by("u", F.xxhash64("u", F.lit(i))) for i in range(PIVOTS)]).alias("p")).select("t", F.explode("p").alias("p"))
     stars = warm.join(pivots, "t").where("u <> p").select(F.least("u", "p").alias("a"), F.greatest("u", "p").alias("b"))
     links = first.unionByName(verified(worth(pairs.unionByName(stars))))
     roots = connected_components(links).select(F.col("node").alias("u"), "root")
