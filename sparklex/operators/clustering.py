@@ -7,7 +7,11 @@ input gives no row from the table, which each metric turns into its documented v
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sparklex.plans.scratch import Scratch
@@ -179,45 +183,150 @@ def davies_bouldin(df: DataFrame, vector: str, label: str) -> DataFrame:
     return pairs.groupBy("ca").agg(F.max(r).alias("r")).agg(_value(F.avg("r")))
 
 
+#: Rows are dealt into about so many blocks, and a block has so many numbers at most (32 MB in double precision).
+BLOCKS, BLOCK_VALUES = 48, 1 << 22
+#: Squared distances below this share of the squared norms are taken from differences, so that small ones stay exact.
+NEAR = 1e-4
+
+
 def silhouette_samples(df: DataFrame, key: str, vector: str, label: str, block: int = 1_024) -> DataFrame:
     """``key``, ``value`` with Euclidean distances; a singleton's value is 0. All pairs by definition.
 
-    Rows are gathered in blocks of about ``block``; every pair of blocks is one matrix of distances, from which only
-    sums by row and cluster come back.
+    Rows are packed by ranges of the label in blocks of ``block`` at least; blocks grow with the table, up to
+    ``BLOCK_VALUES``, so each row is shuffled about ``BLOCKS`` times however many there are. Every pair of blocks is
+    one cell, whose distances serve both sides and are never all in memory; only sums by row and cluster come back.
     """
-    n = max(1, -(-df.count() // block))
-    rows = df.select((F.abs(F.xxhash64(key)) % n).alias("b"), F.struct(F.col(key).alias("k"), F.col(label).alias("c"), F.transform(vector, lambda x: x.cast("double")).alias("v")).alias("r"))
-    packed = rows.groupBy("b").agg(F.collect_list("r").alias("r")).select(F.col("r.k").alias("k"), F.col("r.c").alias("c"), F.flatten("r.v").alias("v"))
-    left, right = packed.toDF("ka", "ca", "va"), packed.toDF("kb", "cb", "vb")
-
-    def sums(frames):
-        import numpy as np
-        import pandas as pd
-
-        for frame in frames:
-            for p in frame.itertuples(index=False):
-                ka, kb, cb = np.asarray(p.ka), np.asarray(p.kb), np.asarray(p.cb)
-                x, y = np.asarray(p.va).reshape(len(ka), -1), np.asarray(p.vb).reshape(len(kb), -1)
-                names, at = np.unique(cb, return_inverse=True)
-                member = np.eye(len(names))[at]
-                s, m = np.empty((len(ka), len(names))), np.empty((len(ka), len(names)))
-                for i in range(len(ka)):  # differences, not a product form, so that small distances stay exact
-                    others = (kb != ka[i]).astype(float)
-                    s[i] = (np.sqrt(((y - x[i]) ** 2).sum(axis=1)) * others) @ member
-                    m[i] = others @ member
-                yield pd.DataFrame({"ka": np.repeat(ka, len(names)), "ca": np.repeat(np.asarray(p.ca), len(names)), "cb": np.tile(names, len(ka)), "s": s.ravel(), "n": m.ravel()})
-
-    kt, ct = df.schema[key].dataType.simpleString(), df.schema[label].dataType.simpleString()
-    parts = left.crossJoin(right).repartition(max(1, n)).mapInPandas(sums, f"ka {kt}, ca {ct}, cb {ct}, s double, n double")
-    sums_ = parts.groupBy("ka", "ca", "cb").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).where("n > 0")
-    return _silhouettes(sums_, key)
+    wide = df.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("d")).first()
+    rows = max(block, min(-(-wide["n"] // BLOCKS), BLOCK_VALUES // max(1, wide["d"] or 1)))
+    parts = max(1, -(-wide["n"] // rows))
+    kt, ct, vt = (df.schema[c].dataType.simpleString() for c in (key, label, vector))
+    number = "float" if vt == "array<float>" else "double"
+    named = df.select(F.col(key).alias("k"), F.col(label).alias("c"), F.col(vector).cast(f"array<{number}>").alias("v")).where("k is not null")
+    dealt = named.withColumn("h", F.xxhash64("k")).repartitionByRange(parts, "c", "h").drop("h")
+    scratch = Scratch(df.sparkSession, "silhouette")
+    packed = dealt.mapInArrow(_pack(rows, number), f"s int, k array<{kt}>, c array<{ct}>, v binary").withColumn("p", F.spark_partition_id())
+    packed = scratch.save(packed, "blocks")
+    ids = [(r["p"], r["s"], i) for i, r in enumerate(packed.select("p", "s").orderBy("p", "s").collect())]  # one a block
+    blocks = packed.join(F.broadcast(df.sparkSession.createDataFrame(ids, "p int, s int, b int")), ["p", "s"])
+    cells = blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(max(0, len(ids) - 1))))).select(F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "k", "c", "v")
+    sums = cells.groupBy("i", "j").applyInArrow(_cell(number), f"ka {kt}, ca {ct}, cb {ct}, s double, n double")
+    return _silhouettes(sums.groupBy("ka", "ca", "cb").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).where("n > 0"), key)
+
+
+def _pack(rows: int, number: str):
+    """A partition as blocks of at most ``rows`` rows: keys, labels and the vectors' bytes, by label."""
+    kind = np.float32 if number == "float" else np.float64
+
+    def block(held: list[pa.RecordBatch], s: int) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        t = t.take(pc.sort_indices(t, [("c", "ascending")])).combine_chunks()
+        k, c, v = (t.column(i).chunk(0) for i in range(3))
+        flat = v.flatten()
+        if v.null_count or flat.null_count or len(set(np.diff(v.offsets))) > 1:
+            raise ValueError("silhouettes need vectors of one length without nulls")
+        whole = lambda x: pa.ListArray.from_arrays([0, len(x)], x)
+        return pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), whole(k), whole(c), pa.array([flat.to_numpy(zero_copy_only=False).astype(kind).tobytes()], pa.binary())], names=["s", "k", "c", "v"])
+
+    def run(batches):
+        held, n, s = [], 0, 0
+        for batch in batches:
+            while len(batch):
+                held.append(batch.slice(0, rows - n))
+                batch = batch.slice(rows - n)
+                n += len(held[-1])
+                if n == rows:
+                    yield block(held, s)
+                    held, n, s = [], 0, s + 1
+        if held:
+            yield block(held, s)
+
+    return run
+
+
+def _sides(batches, kind) -> list[tuple]:
+    """Keys, labels, vectors and, of each run of rows with one label, its begin, of a cell's blocks in their order."""
+    found = []
+    for batch in batches:
+        for r in range(len(batch)):
+            k, c = (batch.column(name).slice(r, 1).flatten() for name in ("k", "c"))
+            v = np.frombuffer(batch.column("v")[r].as_buffer(), kind).reshape(len(k), -1).astype(np.float64)
+            code = pc.fill_null(c.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+            found.append((batch.column("b")[r].as_py(), k, c, v, np.flatnonzero(np.r_[True, code[1:] != code[:-1]])))
+    return [f[1:] for f in sorted(found, key=lambda f: f[0])]
+
+
+def _same(ka: pa.Array, kb: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of places with one key, by the first place."""
+    at: dict = {}
+    for j, k in enumerate(kb.to_pylist()):
+        at.setdefault(k, []).append(j)
+    pairs = [(i, j) for i, k in enumerate(ka.to_pylist()) for j in at.get(k, ())]
+    return tuple(np.array(pairs, dtype=np.int64).reshape(-1, 2).T)
+
+
+def _distances(x: np.ndarray, y: np.ndarray, tile: int):
+    """(begin, end, distances of these rows of ``x`` and all of ``y``): matrix products about a common centre, and
+    differences where a product form would lose digits."""
+    mid = x.mean(axis=0)
+    xc, yc = x - mid, y - mid
+    xx, yy = (xc * xc).sum(axis=1), (yc * yc).sum(axis=1)
+    left = np.c_[-2 * xc, xx, np.ones(len(x))]
+    right = np.ascontiguousarray(np.c_[yc, np.ones(len(y)), yy].T)
+    most = NEAR * yy.max(initial=0.0)
+    for lo in range(0, len(x), tile):
+        hi = min(lo + tile, len(x))
+        d = left[lo:hi] @ right
+        at, to = np.nonzero(d <= (NEAR * xx[lo:hi] + most)[:, None])
+        small = d[at, to] <= NEAR * (xx[lo:hi][at] + yy[to])
+        at, to = at[small], to[small]
+        for n in range(0, len(at), 1 << 14):
+            i, j = at[n : n + (1 << 14)], to[n : n + (1 << 14)]
+            d[i, j] = ((x[lo + i] - y[j]) ** 2).sum(axis=1)
+        yield lo, hi, np.sqrt(d, out=d)
+
+
+def _cell(number: str):
+    kind = np.float32 if number == "float" else np.float64
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sides = _sides(batches, kind)
+        (ka, ca, x, at_a), (kb, cb, y, at_b) = sides[0], sides[-1]
+        i, j = _same(ka, kb)
+        run_a, run_b = (np.searchsorted(at, z, "right") - 1 for at, z in ((at_a, i), (at_b, j)))
+
+        def rows(keys, own, lo, hi, others, at, s, n):  # s, n: a row a key from lo to hi, a column a run
+            place = pa.array(np.repeat(np.arange(lo, hi), len(at)))
+            cb_ = others.take(pa.array(np.tile(at, hi - lo)))
+            return pa.RecordBatch.from_arrays([keys.take(place), own.take(place), cb_, pa.array(s.ravel()), pa.array(n.ravel())], names=["ka", "ca", "cb", "s", "n"])
+
+        size_a, size_b = (np.diff(np.r_[at, len(k)]).astype(float) for at, k in ((at_a, ka), (at_b, kb)))
+        tile = max(16, (1 << 18) // max(1, len(y)))
+        held: dict[int, np.ndarray] = {}  # distances of all of y to the runs of x that are not through
+        for lo, hi, d in _distances(x, y, tile):
+            here = slice(*np.searchsorted(i, [lo, hi]))
+            d[i[here] - lo, j[here]] = 0.0  # i ascends
+            n = np.tile(size_b, (hi - lo, 1))
+            np.subtract.at(n, (i[here] - lo, run_b[here]), 1.0)
+            yield rows(ka, ca, lo, hi, cb, at_b, np.add.reduceat(d, at_b, axis=1), n)
+            if len(sides) == 1:
+                continue
+            first, last = np.searchsorted(at_a, [lo, hi - 1], "right") - 1
+            part = np.add.reduceat(d, np.maximum(at_a[first : last + 1] - lo, 0), axis=0)
+            for r in range(first, last + 1):
+                held[r] = held[r] + part[r - first] if r in held else part[r - first]
+            for r in [r for r in held if r < last or hi == len(x)]:
+                n = np.full(len(y), size_a[r])
+                np.subtract.at(n, j[run_a == r], 1.0)
+                yield rows(kb, cb, 0, len(y), ca, at_a[r : r + 1], held.pop(r), n)
+
+    return sums
 
 
 def _silhouettes(sums: DataFrame, key: str) -> DataFrame:
     """``key``, ``value`` of the distances ``s`` of row ``ka`` in cluster ``ca`` to the ``n`` other rows of cluster ``cb``."""
     d = sums.withColumn("d", F.col("s") / F.col("n"))
     own, other = F.col("ca") == F.col("cb"), F.col("ca") != F.col("cb")
-    s = d.groupBy("ka", "ca").agg(F.max(F.when(own, F.col("d"))).alias("a"), F.min(F.when(other, F.col("d"))).alias("b"))
+    s = d.groupBy("ka").agg(F.max(F.when(own, F.col("d"))).alias("a"), F.min(F.when(other, F.col("d"))).alias("b"))
     top = F.greatest("a", "b")
     return s.select(F.col("ka").alias(key), F.when(F.col("a").isNull() | (top <= 0), 0.0).otherwise((F.col("b") - F.col("a")) / top).alias("value"))
 

@@ -137,3 +137,25 @@ def test_stop_words_from_a_file(spark, tmp_path):
     assert read_stop_words(spark, str(tmp_path / "w.txt")) == ("and", "or")
     with pytest.raises(ValueError):
         read_stop_words(spark, str(tmp_path / "w.txt"), "en")
+
+
+def test_silhouette_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(600, 4)) * 1e-2 + 1e5
+    v[300:] = v[:300]  # copies, at a distance of 0
+    keys, labels = np.arange(600), rng.integers(3, size=600)
+    keys[7] = 8  # a repeated key under two labels is one row, as in the SQL
+    labels[7], labels[8] = 0, 1
+    rows = spark.createDataFrame([(int(k), x, int(c)) for k, x, c in zip(keys, v.tolist(), labels)], "k int, v array<double>, c int")
+    saved = []
+    save = K.Scratch.save
+    monkeypatch.setattr(K.Scratch, "save", lambda self, df, name="t": saved.append(save(self, df, name)) or saved[-1])
+    got = {r["k"]: r["value"] for r in K.silhouette_samples(rows, "k", "v", "c", 4).collect()}
+    assert saved and saved[0].count() <= 2 * K.BLOCKS  # not a block for every four rows
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(axis=2))
+    assert len(got) == 599
+    for key in (0, 8, 300, 599):
+        a = keys == key
+        means = lambda own: [d[np.ix_(a & (labels == x), ~a & (labels == y))].mean() for x in set(labels[a]) for y in range(3) if (x == y) == own]
+        near, far = max(means(True)), min(means(False))
+        assert math.isclose(got[key], (far - near) / max(far, near), abs_tol=1e-9)
