@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparklex.functions import tokenize as T
@@ -36,7 +37,14 @@ def _frequent(s: SparkSession, d: str, n: int = 3_000) -> list[tuple[str, int]]:
 
 
 def _characters(s: SparkSession, d: str) -> list[str]:
-    rows = _docs(s, d).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?s)(.)"), F.lit(1)))).alias("c")).distinct()
+    def distinct(batches):
+        for batch in batches:
+            found: set[str] = set()
+            for at in range(0, len(batch), T.SLICE):
+                found.update(*batch.column(0).slice(at, T.SLICE).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["c"])
+
+    rows = _docs(s, d).select(F.lower("text")).mapInArrow(distinct, "c string").distinct()
     return sorted(r["c"] for r in rows.collect() if not r["c"].isspace())
 
 
@@ -47,11 +55,11 @@ def wordpiece(s: SparkSession, d: str) -> M.WordPiece:
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", F.size("e.ids").cast("long").alias("n_tokens"), F.md5(F.array_join(F.transform("e.ids", lambda i: i.cast("string")), ",")).alias("digest"))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.md5(F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")).alias("digest"))
 
 
 _WORDS = "SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]{2,}')) AS term FROM documents"
-_add("wordpiece_encode", lambda s, d: _counted(_docs(s, d).select("doc_id", T.encode(s, wordpiece(s, d), "text").alias("e"))),
+_add("wordpiece_encode", lambda s, d: _counted(_docs(s, d).select("doc_id", T.encode_ids(s, wordpiece(s, d), "text").alias("ids"))),
      f"{Q.wordpiece(_WORDS, 'SELECT doc_id AS key, coalesce(text, chr(32)) AS text FROM documents')} SELECT key AS doc_id, len(ids) AS n_tokens, md5(array_to_string(ids, ',')) AS digest FROM enc")
 
 
@@ -62,7 +70,7 @@ def unigram(s: SparkSession, d: str) -> M.Unigram:
     return A.tokenizer_json(json.dumps({"pre_tokenizer": {"type": "Metaspace", "replacement": "▁", "prepend_scheme": "always", "split": True}, "model": {"type": "Unigram", "unk_id": 0, "vocab": pieces}}).encode())
 
 
-_add("unigram_encode", lambda s, d: _counted(_docs(s, d).select("doc_id", T.encode(s, unigram(s, d), F.lower("text")).alias("e"))))
+_add("unigram_encode", lambda s, d: _counted(_docs(s, d).select("doc_id", T.encode_ids(s, unigram(s, d), F.lower("text")).alias("ids"))))
 
 
 def byte_bpe() -> M.Bpe:
@@ -74,12 +82,12 @@ def byte_bpe() -> M.Bpe:
     return A.tokenizer_json(json.dumps(doc | {"post_processor": None, "truncation": None, "padding": None}).encode())
 
 
-_add("bpe_encode", lambda s, d: _counted(_docs(s, d).select("doc_id", T.encode(s, byte_bpe(), "text").alias("e"))))
+_add("bpe_encode", lambda s, d: _counted(_docs(s, d).select("doc_id", T.encode_ids(s, byte_bpe(), "text").alias("ids"))))
 
 
 def _round_trip(s: SparkSession, d: str) -> DataFrame:
-    e = Scratch(s, "bpe").save(_docs(s, d).select("doc_id", T.encode(s, byte_bpe(), "text").alias("e")))
-    return e.select("doc_id", F.md5(T.decode(s, byte_bpe(), "e.ids")).alias("digest"))
+    model = byte_bpe()
+    return _docs(s, d).select("doc_id", F.md5(T.decode(s, model, T.encode_ids(s, model, "text"))).alias("digest"))
 
 
 _add("bpe_decode", _round_trip, "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents")

@@ -232,3 +232,51 @@ def test_bpe_fuses_substitutes_only():
     vocab = {"q": 0, "a": 1}
     model = M.Bpe(vocab, [], M.BpeOptions(fuse_unk=True, unk="q"))
     assert [model.encode(t)[0] for t in ("qZ", "ZZ", "Zq", "ZaZZ", "qZZq")] == [["q", "q"], ["q"], ["q", "q"], ["q", "a", "q"], ["q", "q", "q"]]
+
+
+def test_packed_ids_are_those_of_encode():
+    from array import array
+
+    from sparklex.functions.tokenize import models as M
+
+    added = (M.AddedToken("<x>", 90, True, False), M.AddedToken("ab", 91, single_word=True))
+    texts = ["", " ", "the cat  sat\n\ton the mat", "<x>the ab<x> cab", "ünknown ▁ mark", "the" * 40, "x'll 12 !?", "\x1c a\x85b c"]
+    vocab = {t: i for i, t in enumerate(["[UNK]", "the", "c", "##at", "s", "##a", "##t", "!", "?"])}
+    byte = {c: i for i, c in enumerate(M.byte_alphabet().values())}
+    merges = [("t", "h"), ("th", "e"), ("Ġ", "the"), ("a", "t"), ("a", "b")]
+    split = ((M.PATTERNS["gpt2"], "isolated", False),)
+    models = [
+        M.WordPiece(vocab, added=added), M.WordPiece(vocab, lowercase=True),
+        M.Bpe(byte | {a + b: 300 + i for i, (a, b) in enumerate(merges)}, merges, M.BpeOptions(byte_level=True, splits=split, added=added)),
+        M.Bpe({"u": 0, "t": 1, "h": 2, "th": 3}, [("t", "h")], M.BpeOptions(unk="u", fuse_unk=True)),
+    ]
+    pieces = [("<unk>", 0.0, M.UNKNOWN), ("▁the", -1.0, M.NORMAL), ("▁", -3.0, M.NORMAL), ("ca", -2.0, M.NORMAL), ("a", -4.0, M.NORMAL), ("t", -4.0, M.NORMAL), ("▁ca", -9.0, M.NORMAL)]
+    models += [M.Unigram(pieces, 0), M.Unigram(pieces, 0, collapse=False), M.Unigram([*pieces, ("e▁c", -1.0, M.NORMAL)], 0), M.Unigram(pieces[:2], 0)]
+    assert [m.by_word for m in models[4:]] == [True, True, False, False]
+    for m in models:
+        for t in texts * 2:
+            assert list(array("i", m.packed_ids(t))) == m.encode(t)[1]
+    bpe = models[2]
+    assert all(bpe.decode(bpe.encode(t)[1]) == t for t in texts)
+    long = list("abthe" * 40)
+    assert bpe._merge_few(list(long)) == bpe._merge(list(long))
+    with pytest.raises(ValueError):
+        bpe.decode([10**6])
+
+
+def test_batches_are_encoded_in_slices(spark, monkeypatch):
+    import pyarrow as pa
+
+    from sparklex.functions import tokenize as T
+    from sparklex.functions.tokenize import models as M
+
+    sizes = []
+    got = T._sliced(pa.array(["a"] * 1000), pa.string(), lambda part: sizes.append(len(part)) or part)
+    assert len(got) == 1000 and max(sizes) <= T.SLICE
+    monkeypatch.setattr(M.Memo, "SIZE", 3)
+    memo = M.Memo(lambda k: k.encode())
+    assert [memo[str(i % 7)] for i in range(50)] == [str(i % 7).encode() for i in range(50)] and len(memo) <= 3 and len(memo.before) <= 3
+    rows = spark.createDataFrame([(0, "the cat"), (1, None), (2, "")], "k int, t string")
+    m = M.WordPiece({"[UNK]": 0, "the": 1, "c": 2, "##at": 3})
+    assert [r[0] for r in rows.orderBy("k").select(T.encode_ids(spark, m, "t")).collect()] == [[1, 2, 3], None, []]
+    assert [tuple(r[0]) for r in rows.orderBy("k").select(T.encode(spark, m, "t")).collect()] == [(["the", "c", "##at"], [1, 2, 3]), (None, None), ([], [])]
