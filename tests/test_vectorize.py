@@ -114,3 +114,38 @@ def test_streaming_distance(spark, tmp_path):
     stream = spark.readStream.schema("a string, b string").parquet(str(tmp_path / "in"))
     run_to_table(stream.select(T.osa("a", "b").alias("d")), "distances", str(tmp_path / "cp"), "append")
     assert [r["d"] for r in spark.table("distances").collect()] == [3]
+
+
+def test_terms_are_counted_in_place(spark):
+    unique = spark.createDataFrame([(1, "b a b"), (2, ""), (None, "a")], "i int, t string")
+    counts = V.term_counts(unique, "i", "t", V.Analyzer(pattern=r"\w+"))
+    assert sorted(counts.collect(), key=str) == sorted([(1, "a", 1.0), (1, "b", 2.0), (None, "a", 1.0)], key=str)
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    twice = unique.unionByName(spark.createDataFrame([(1, "b c"), (None, "a")], "i int, t string"))
+    want = [(1, "a", 1.0), (1, "b", 3.0), (1, "c", 1.0), (None, "a", 2.0)]
+    assert sorted(V.term_counts(twice, "i", "t", V.Analyzer(pattern=r"\w+")).collect(), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("kind,n", [("char", 2), ("char", 3), ("char", 9), ("char_wb", 2), ("char_wb", 3), ("char_wb", 4), ("char_wb", 6)])
+def test_totals_of_character_grams(spark, monkeypatch, kind, n):
+    texts = ["", " ", "a", "  Ab  abc\t\nabcd ab", "x😀y x😀y", "a\x00b\x00 \x00", "é ß " * 30, "".join(map(chr, range(0x4E00, 0x4E00 + 300))), "abcdefghij" * 20]
+    monkeypatch.setattr(V, "GRAM_CHARS", 50)
+    a = V.Analyzer(kind, (n, n))
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    counts = df.select("i", F.explode(a.terms(F.col("t"))).alias("term"))
+    want = {r["term"]: (r["n"], r["df"]) for r in counts.groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("i").alias("df")).collect()}
+    got = {r["term"]: (r["n"], r["df"]) for r in V.term_totals(df, "i", "t", a).collect()}
+    assert got == want
+    again = {r["term"]: (r["n"], r["df"]) for r in V.term_totals(df.unionByName(df), "i", "t", a).collect()}
+    assert again == {t: (2 * x, d) for t, (x, d) in want.items()}
+
+
+def test_rare_terms_are_joined_too(spark, docs, monkeypatch):
+    counts = V.term_counts(docs, "i", "t")
+    vocab = V.with_idf(V.vocabulary(counts, "i", 5), 5)
+    plain = [sorted(V.count_vectorize(counts, vocab, "i").collect()), sorted(V.tfidf(counts, vocab, "i", None).collect())]
+    normed = {(r["i"], r["term"]): r["value"] for r in V.tfidf(counts, vocab, "i").collect()}
+    for bound in (0, 2, 4):  # none, and some, of the terms are frequent
+        monkeypatch.setattr(V, "FREQUENT", bound)
+        assert [sorted(V.count_vectorize(counts, vocab, "i").collect()), sorted(V.tfidf(counts, vocab, "i", None).collect())] == plain
+        assert {(r["i"], r["term"]): pytest.approx(r["value"]) for r in V.tfidf(counts, vocab, "i").collect()} == normed
