@@ -280,3 +280,31 @@ def test_batches_are_encoded_in_slices(spark, monkeypatch):
     m = M.WordPiece({"[UNK]": 0, "the": 1, "c": 2, "##at": 3})
     assert [r[0] for r in rows.orderBy("k").select(T.encode_ids(spark, m, "t")).collect()] == [[1, 2, 3], None, []]
     assert [tuple(r[0]) for r in rows.orderBy("k").select(T.encode(spark, m, "t")).collect()] == [(["the", "c", "##at"], [1, 2, 3]), (None, None), ([], [])]
+
+
+def test_pairs_are_remembered_across_batches(spark):
+    from sparklex.functions import strings as T
+    from sparklex.plans.queries_text import QUERIES
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def kernel(a, b):
+        calls.add(1)
+        return K.partial_ratio(a, b)
+
+    rows = spark.range(25_000, numPartitions=1).select(F.lit("steel ring").alias("a"), F.lit("ring of steel").alias("b"))  # three batches
+    value = T.kernel_udf(kernel, "double")("a", "b")
+    assert [r[0] for r in rows.select(value.alias("v")).distinct().collect()] == [K.partial_ratio("steel ring", "ring of steel")]
+    assert calls.value == 1
+    for name in ("fuzz_partial_ratio", "fuzz_partial_token_sort_ratio", "fuzz_partial_token_set_ratio", "damerau_normalized_similarity"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_COL" in plan  # one file is one task otherwise
+
+
+@given(st.text("abc", max_size=9), st.text("abcd", max_size=9))
+def test_partial_ratio_is_the_best_window(a, b):
+    def slide(p, t):
+        return max((K.ratio(p, t[max(0, i) : i + len(p)]) for i in range(1 - len(p), len(t))), default=0.0)
+
+    want = slide(a, b) if len(a) < len(b) else slide(b, a) if len(a) > len(b) else max(slide(a, b), slide(b, a))
+    assert K.partial_ratio(a, b) == pytest.approx(want if a and b else 100.0 if not a and not b else 0.0)
