@@ -149,3 +149,23 @@ def test_rare_terms_are_joined_too(spark, docs, monkeypatch):
         monkeypatch.setattr(V, "FREQUENT", bound)
         assert [sorted(V.count_vectorize(counts, vocab, "i").collect()), sorted(V.tfidf(counts, vocab, "i", None).collect())] == plain
         assert {(r["i"], r["term"]): pytest.approx(r["value"]) for r in V.tfidf(counts, vocab, "i").collect()} == normed
+
+
+def test_best_rows_without_a_sort(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql.types import IntegerType
+
+    rng = np.random.default_rng(3)
+    for low in (rng.integers(4, size=(30, 50)).astype(float), rng.normal(size=(5, 7)), np.zeros((2, 9)), np.where(rng.random((9, 20)) < 0.8, np.nan, 1.0)):
+        for k in (1, 3, 7, 60):
+            at = np.argsort(low, axis=1, kind="stable")[:, :k]
+            row, got = X._best(low, k)
+            assert got.tolist() == at.ravel().tolist() and row.tolist() == np.repeat(np.arange(len(low)), at.shape[1]).tolist()
+    df = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(9)], "i int, v array<float>").coalesce(1)
+    monkeypatch.setattr(X, "ROW_BLOCK", 4)
+    shared = type("B", (), {"value": ([0, 1], np.array([[1.0, 0.0], [0.0, 1.0]]))})()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9), pa.int32()), pa.array([[float(i % 3), 1.0] for i in range(9)], pa.list_(pa.float32()))], names=["k", "v"])
+    out = list(X._search(shared, 2, False, (IntegerType(), IntegerType()))([batch]))
+    assert [len(b) for b in out] == [4, 4, 2] and out[0].to_pylist()[0] == {"query": 0, "k": 2, "score": 2.0}
+    assert [r["i"] for r in X.nearest(df, df.where("i = 2"), 3, "i", "v").orderBy("rank").collect()] == [2, 5, 8]
