@@ -46,7 +46,10 @@ def encode_ids(spark: SparkSession, model, text) -> Column:
     kind = pa.list_(pa.int32())
 
     def ids(part: pa.Array) -> pa.Array:
-        found = [None if x is None else shared.value.packed_ids(x) for x in part.to_pylist()]
+        m, texts = shared.value, part.to_pylist()
+        given = [x for x in texts if x is not None]
+        got = iter(m.packed_many(given) if hasattr(m, "packed_many") else map(m.packed_ids, given))
+        found = [None if x is None else next(got) for x in texts]
         ends = np.cumsum([0, *(0 if f is None else len(f) // 4 for f in found)])
         flat = pa.array(np.frombuffer(b"".join(f for f in found if f), dtype=np.int32))
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat, mask=pa.array([f is None for f in found]))

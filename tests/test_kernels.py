@@ -308,3 +308,20 @@ def test_partial_ratio_is_the_best_window(a, b):
 
     want = slide(a, b) if len(a) < len(b) else slide(b, a) if len(a) > len(b) else max(slide(a, b), slide(b, a))
     assert K.partial_ratio(a, b) == pytest.approx(want if a and b else 100.0 if not a and not b else 0.0)
+
+
+def test_new_pieces_are_merged_together():
+    import random
+    from array import array
+
+    symbols = list(M.byte_alphabet().values())
+    merges = [("t", "h"), ("th", "e"), ("Ġ", "the"), ("a", "a"), ("aa", "a"), ("a", "aa"), ("e", "a"), ("t", "h"), ("Ġ", "t"), ("he", "a"), ("h", "e")]
+    vocab = {t: i for i, t in enumerate(dict.fromkeys([*symbols[::-1], *(a + b for a, b in merges)]))}
+    bpe = M.Bpe(vocab, merges, M.BpeOptions(byte_level=True, splits=((M.PATTERNS["gpt2"], "isolated", False),)))
+    random.seed(4)
+    texts = ["".join(random.choices("athe  ü", k=random.randrange(80))) for _ in range(300)]
+    assert M.PairMerger.of(bpe)
+    assert [list(array("i", b)) for b in bpe.packed_many(texts)] == [bpe.encode(t)[1] for t in texts]
+    pieces = sorted({p for t in texts for p in bpe.pieces(t)})
+    assert [list(array("i", b)) for b in M.PairMerger.of(bpe).merge([p.encode() for p in pieces] + [b""])] == [bpe._piece(p)[1] for p in pieces] + [[]]
+    assert M.PairMerger.of(M.Bpe(vocab, [*merges, ("x", "y")], bpe.options)) is None  # a merged pair without an id
